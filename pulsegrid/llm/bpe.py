@@ -167,15 +167,22 @@ class Vocabulary:
         stops = np.flatnonzero(merged == _BREAK)
         return merged[merged != _BREAK].astype("<u4"), np.diff(stops, prepend=-1) - 1
 
-    def _numbered(self, text: str) -> np.ndarray:
-        """The numbers of a text's pre-tokens; a special string counts as one."""
-        number = self.number.__getitem__
+    def words(self, text: str) -> list[str]:
+        """The pre-tokens of a text; a special string counts as one."""
         if self._split is None or not any(s in text for s in self.special):
-            return np.fromiter(map(number, self.pretokens(text)), np.int32)
+            return self.pretokens(text)
         words: list[str] = []
         for part in self._split.split(text):
             words += [part] if part in self.special else self.pretokens(part)
-        return np.fromiter(map(number, words), np.int32)
+        return words
+
+    def pieces(self, words: list[str]) -> np.ndarray:
+        """How many ids each of these distinct pre-tokens has."""
+        special = np.array([w in self.special for w in words], bool)
+        _, lengths = self.encode_words([w for w in words if w not in self.special])
+        out = np.ones(len(words), np.int64)
+        out[~special] = lengths
+        return out
 
     def _learn(self) -> None:
         """Encode the pre-tokens that have a number but no ids yet."""
@@ -194,7 +201,7 @@ class Vocabulary:
         step: list[np.ndarray] = []
         size = 0
         for text in texts:
-            step.append(self._numbered(text or ""))
+            step.append(np.fromiter(map(self.number.__getitem__, self.words(text or "")), np.int32))
             size += len(text or "")
             if size >= STEP_CHARS:
                 out += self._assemble(step)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, quality_rules
+from pulsegrid.llm import bpe, imatch, quality_rules, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -21,13 +21,28 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A document longer than this is over the limit of op7.
+TOKEN_LIMIT = 1024
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), bpe.default_path())
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_bpe": op5_bpe,
+    "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_imatch": op10_imatch,
 }
 
 ORACLES: dict[str, str] = {}
