@@ -4,7 +4,7 @@ The lexicon keeps the terms whose document frequency lies in a band.  Each finge
 document's distinct lexicon terms and hashes those of several random subsets of the lexicon, whose
 rates fall by fours, so that for any length of document some subsets hold about one of its terms.
 Two fingerprints are alike by the share of equal subset hashes, at the finest rate at which at least
-half the subsets hold a term of either document.
+a quarter of the subsets hold a term of either document.
 
 Document frequencies cover all documents.  A term of the band lies in at least ``MIN_SHARE`` of them,
 so the lexicon has at most (mean distinct terms of a document) / ``MIN_SHARE`` entries, at any corpus
@@ -29,7 +29,7 @@ MIN_SHARE = 0.001
 MAX_SHARE = 0.05
 MIN_DOCS = 2
 #: Lexicon subsets at each rate 4**-1 ... 4**-LEVELS.
-SUBSETS = 24
+SUBSETS = 32
 LEVELS = 5
 #: Terms that a broadcast lexicon may have; a larger one raises MIN_SHARE's bound as the cause.
 MAX_LEXICON = 20_000_000
@@ -126,7 +126,7 @@ def likeness(a: str, b: str) -> float:
     y = np.frombuffer(b.encode(), "S4").reshape(LEVELS, SUBSETS)
     held = (x != b"0000") | (y != b"0000")
     informed = held.sum(axis=1)
-    level = max(0, int(np.flatnonzero(2 * informed >= SUBSETS).max(initial=0)))
+    level = max(0, int(np.flatnonzero(4 * informed >= SUBSETS).max(initial=0)))
     return float(((x[level] == y[level]) & held[level]).sum() / informed[level]) if informed[level] else 0.0
 
 
