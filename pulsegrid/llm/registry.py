@@ -5,10 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, imatch, quality_rules, token_counts
+from pulsegrid.llm import bpe, imatch, quality_rules, token_counts, url_filter
 from pulsegrid.llm.common import table
 
 
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+#: Pages known to be spam, as an operator would list them.
+BLOCKED_URLS = ["http://spam-farm.example.org", "http://casino-win.example.org", "http://cheap-pills.example.org"]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    blocked = spark.createDataFrame([(u,) for u in BLOCKED_URLS], "url string")
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), rules, blocked)
+
+
+OP2_SQL = """
+WITH urls AS (
+  SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS found FROM pages
+), parts AS (
+  SELECT page_id, CASE WHEN found > 0 THEN substr(url, found + 3) ELSE '' END AS rest FROM urls
+), split AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    row_number() OVER () AS n
+  FROM parts
+), rules(rule_host, rule_path, ruled) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fits AS (
+  SELECT s.n, rule_host || rule_path AS rule, ruled,
+    row_number() OVER (PARTITION BY s.n ORDER BY length(rule_host || rule_path) DESC) AS k
+  FROM split s JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+), plain AS (
+  SELECT n, regexp_replace(regexp_replace(host, '^www[.]', '') || path, '/$', '') AS url FROM split
+)
+SELECT s.page_id, s.host, s.path, f.rule,
+  coalesce(f.ruled, CASE WHEN p.url IN ('spam-farm.example.org', 'casino-win.example.org', 'cheap-pills.example.org')
+                         THEN 'block' ELSE 'allow' END) AS verdict
+FROM split s JOIN plain p USING (n) LEFT JOIN fits f ON f.n = s.n AND f.k = 1
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = bpe.default_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,10 +84,13 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op5_bpe": op5_bpe,
     "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_imatch": op10_imatch,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": OP2_SQL,
+}
