@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, chat_format, imatch, quality_rules, token_counts, url_filter
+from pulsegrid.llm import bpe, chat_format, imatch, mixing, quality_rules, token_counts, url_filter
 from pulsegrid.llm.common import table
 
 
@@ -84,6 +84,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -97,6 +101,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op5_bpe": op5_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_imatch": op10_imatch,
 }
