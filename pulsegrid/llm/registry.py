@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, chat_format, imatch, mixing, quality_rules, token_counts, url_filter
+from pulsegrid.llm import bpe, chat_format, imatch, mixing, quality_rules, simhash, token_counts, url_filter
 from pulsegrid.llm.common import table
 
 
@@ -75,6 +75,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 #: A document longer than this is over the limit of op7.
 TOKEN_LIMIT = 1024
 
@@ -100,6 +104,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
     "op5_bpe": op5_bpe,
+    "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
