@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, chat_format, imatch, mixing, quality_rules, simhash, token_counts, url_filter
+from pulsegrid.llm import bpe, chat_format, imatch, mixing, pii, quality_rules, simhash, token_counts, url_filter
 from pulsegrid.llm.common import table
 
 
@@ -63,6 +63,16 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_windows(rows))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[pii.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]],
+        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = bpe.default_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,6 +113,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
+    "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
