@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, chat_format, imatch, mixing, pii, quality_rules, simhash, token_counts, url_filter
+from pulsegrid.llm import bpe, bradley_terry, chat_format, imatch, mixing, pii, quality_rules, simhash, token_counts, url_filter
 from pulsegrid.llm.common import table
 
 
+#: Documents whose labels are held out: crc32 of the id as text, modulo FOLDS.
+FOLDS, HELD_OUT = 4, 2
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
+
+
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    scored = bradley_terry.score(docs, bradley_terry.fit(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 URL_RULES = [
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -111,6 +126,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bradley_terry": op1_bradley_terry,
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
     "op4_pii": op4_pii,
