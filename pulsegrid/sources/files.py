@@ -169,7 +169,7 @@ def read_occurrence_log(spark: SparkSession, path: str) -> DataFrame:
 
     A line with a fraction ends a block.  Blocks are numbered through sums over ranges of lines.
     """
-    lines = in_file_order(spark.read.text(path).select(F.col("value").cast("double").alias("v")).where("v IS NOT NULL"))
+    lines = in_file_order(spark.read.text(path).where("trim(value) <> ''").select(F.col("value").cast("double").alias("v")))
     rows = lines.withColumn("ends", (F.floor("v") != F.col("v")).cast("long")).withColumn("part", F.floor(F.col("idx") / 100_000))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("part").agg(F.sum("ends").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))

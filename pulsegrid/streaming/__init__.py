@@ -1 +1 @@
-
+"""Windows over a live series, with Structured Streaming."""
