@@ -3,7 +3,8 @@
 Non-time window functions are not allowed on streams, so each run (the grouping key) keeps as state the last
 ``length - 1`` readings of it, which bounds the state by the number of live runs.  Readings of a run must
 arrive in order of ``iteration``; one that is not newer than what its run has seen is a repetition and is
-dropped.  The state of a run ends when no reading has come for ``idle_ms``.
+dropped.  With ``idle_ms`` the state of a run ends when no reading has come for so long (the query then never
+runs out of batches, so it suits continuous triggers only); without it, runs keep their few readings.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def flag_stream(
     value: str,
     bad: Callable[[list[float]], bool],
     run: Sequence[str] = RUN,
-    idle_ms: int = 600_000,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """(run columns, start_iteration, end_iteration, measure) of each window that ``bad`` accepts, once."""
     keys = [stream.schema[c] for c in run]
@@ -53,10 +54,10 @@ def flag_stream(
             if len(tail) == length and iteration - tail[0][0] + 1 == length and bad(values):
                 out.append((*key, tail[0][0], int(iteration), sum(values) / length))
         state.update((json.dumps(tail[-max(1, length - 1) :]),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    return stream.groupBy(*run).applyInPandasWithState(
-        step, schema, "tail string", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy(*run).applyInPandasWithState(step, schema, "tail string", "append", timeout)
