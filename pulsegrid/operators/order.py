@@ -7,18 +7,35 @@ and the halo rows are dropped again.  That is exact and spreads over as many tas
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Rows of a chunk, without its halo.
-CHUNK_ROWS = 250_000
+#: Rows of a chunk, without its halo: small enough to spread a short series over the tasks there are.
+CHUNK_ROWS = 20_000
 #: Rows of a key range while the dense order is assigned, about; and ranges at most.
-RANGE_ROWS = 500_000
+RANGE_ROWS = 100_000
 MAX_RANGES = 10_000
 
 
+def cuts_below(value: Column, cuts: Sequence[int | float]) -> Column:
+    """How many of the ascending ``cuts`` lie below ``value``; 0 of a null.
+
+    Searched in two levels, so that a row is compared with about twice the square root of their number.
+    """
+    if not cuts:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [list(cuts[k : k + step]) for k in range(0, len(cuts), step)]
+    last = F.array(*[F.lit(g[-1]) for g in groups])
+    whole = F.size(F.filter(last, lambda c: c < value))
+    within = F.get(F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups]), whole)
+    part = F.coalesce(F.size(F.filter(within, lambda c: c < value)), F.lit(0))  # null above the last group
+    return F.when(value.isNull(), 0).otherwise(F.least(whole * step + part, F.lit(len(cuts))))
+
+
 def with_index(df: DataFrame, key: str, *ties: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with ``idx``: 0, 1, 2 ... by ``key`` (numeric), then ``ties``.
 
@@ -31,8 +48,7 @@ def with_index(df: DataFrame, key: str, *ties: str, range_rows: int = RANGE_ROWS
     if parts > 1:
         quantiles = F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts)
         cuts = sorted(set(df.select(quantiles.alias("q")).first()["q"]))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    rows = df.withColumn("__range", F.coalesce(part, F.lit(0)))
+    rows = df.withColumn("__range", cuts_below(F.col(key), cuts))
     counts = rows.groupBy("__range").agg(F.count("*").alias("n"))  # a row for each range
     ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__ahead"))

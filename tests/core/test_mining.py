@@ -122,3 +122,14 @@ def test_dense_index(spark):
 def test_a_chunk_must_outlast_its_frames(spark):
     with pytest.raises(ValueError):
         in_chunks(spark.range(3).withColumnRenamed("id", "idx"), 5, lambda o: {}, 5)
+
+
+def test_cuts_below(spark):
+    from pulsegrid.operators.order import cuts_below
+
+    for n in (0, 1, 2, 7, 16, 30):
+        cuts = [3 * k for k in range(n)]
+        df = spark.range(-2, 100).select(F.col("id"), cuts_below(F.col("id"), cuts).alias("n"))
+        assert all(r.n == sum(c < r.id for c in cuts) for r in df.collect())
+    null = spark.range(1).select(cuts_below(F.lit(None).cast("long"), [1, 2]).alias("n"))
+    assert null.first().n == 0
