@@ -208,23 +208,31 @@ def report(patterns: DataFrame, n_rows: int, n_windows: int) -> DataFrame:
 def occurrence_log(series: DataFrame, config: MiningConfig, kept: DataFrame | None = None) -> DataFrame:
     """A row for each joined occurrence of each kept pattern: the pattern, start_idx, k_value.
 
-    A pattern without a dimension matches any text of it, so the join is by equal text on the dimensions it
-    has; there is one equi-join for each set of dimensions that occurs, no more than 2 ** dimensions.
+    A pattern without a dimension matches any text of it.  So each occurrence gets a key for every set of
+    dimensions that a kept pattern has (no more than 2 ** dimensions), made of the set and its texts, and one
+    equi-join on that key finds its patterns.
     """
-    kept = mine(series, config) if kept is None else kept
+    kept = (mine(series, config) if kept is None else kept).persist(StorageLevel.MEMORY_AND_DISK)
     names = names_of(kept)
+    shapes = kept.select(*[F.col(n).isNotNull().alias(n) for n in names]).distinct().collect()
+    sets = sorted([n for n in names if r[n]] for r in shapes)
+    columns = [*names, "pattern_len", "start_idx", "k_value"]
+    if not sets:
+        return kept.withColumn("start_idx", F.lit(0).cast("long")).select(*columns).limit(0)
+
+    def key(k: int) -> Column:
+        return F.concat_ws("\x01", F.lit(str(k)), *[F.col(n) for n in sets[k]])
+
+    own = F.lit(None).cast("string")
+    for k, on in enumerate(sets):
+        same = reduce(lambda a, b: a & b, [F.col(n).isNotNull() if n in on else F.col(n).isNull() for n in names])
+        own = F.when(same, key(k)).otherwise(own)
+    keyed = kept.withColumn("__key", own)
     out = []
     for length in config.lengths:
-        rows = occurrences(series, config, length).where("n_join > 0").select("idx", *names)
-        own = kept.where(F.col("pattern_len") == length)
-        shapes = own.select(*[F.col(n).isNotNull().alias(n) for n in names]).distinct().collect()
-        for shape in sorted(shapes, key=tuple):
-            on = [n for n in names if shape[n]]
-            which = reduce(lambda a, b: a & b, [F.col(n).isNotNull() if shape[n] else F.col(n).isNull() for n in names])
-            joined = own.where(which).join(rows.select("idx", *on), on)
-            out.append(joined.select(*names, "pattern_len", F.col("idx").alias("start_idx"), "k_value"))
-    if not out:
-        return kept.limit(0).select(*names, "pattern_len", F.lit(0).cast("long").alias("start_idx"), "k_value")
+        rows = occurrences(series, config, length).where("n_join > 0")
+        rows = rows.select(F.col("idx").alias("start_idx"), F.explode(F.array(*[key(k) for k in range(len(sets))])).alias("__key"))
+        out.append(keyed.where(F.col("pattern_len") == length).join(rows, "__key").select(*columns))
     return reduce(DataFrame.unionByName, out)
 
 
