@@ -40,6 +40,7 @@ HELD_TERMS = 1_000_000
 
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, SUBSETS, dtype=np.uint64) | np.uint64(1)
+_RATES = [np.uint32(1 << (30 - 2 * level)) for level in range(LEVELS)]
 _HEX = 4
 
 
@@ -92,8 +93,6 @@ def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = MIN_SHAR
 
 def fingerprint(text: str, words: np.ndarray) -> str:
     """Hex digits of the hash of each subset, rate by rate; zero where a subset holds none of the terms."""
-    import xxhash
-
     all_terms = np.unique(hashes(terms(text)))
     if not len(all_terms):
         return "0" * (_HEX * SUBSETS * LEVELS)
@@ -107,16 +106,19 @@ def fingerprint(text: str, words: np.ndarray) -> str:
     mixed = own[:, None] * _MIX[None, :]
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    draw = mixed >> np.uint64(32)
-    parts = []
-    for level in range(1, LEVELS + 1):
-        chosen = (draw < np.uint64(1 << (32 - 2 * level))).T
-        some = chosen.any(axis=1).tolist()
-        parts += [
-            f"{xxhash.xxh64_intdigest(own[chosen[s]].tobytes()) % 65535 + 1:04x}" if some[s] else "0000"
-            for s in range(SUBSETS)
-        ]
-    return "".join(parts)
+    draw = (mixed >> np.uint64(32)).astype(np.uint32).ravel()
+    at = np.flatnonzero(draw < _RATES[0])  # (term, subset) pairs of the widest subsets
+    draw, subset = draw[at], at % SUBSETS
+    level = np.zeros(len(at), np.int64)
+    for rate in _RATES[1:]:
+        level += draw < rate
+    # The distinct terms of each subset, in order, add up to its hash; sums below 2**53 are exact.  A subset of
+    # a rate holds what those of the lower rates hold.
+    cell, shape = level * SUBSETS + subset, (LEVELS, SUBSETS)
+    part = (mixed.ravel()[at] & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    sums = np.bincount(cell, part, LEVELS * SUBSETS).reshape(shape)[::-1].cumsum(axis=0)[::-1]
+    held = np.bincount(cell, None, LEVELS * SUBSETS).reshape(shape)[::-1].cumsum(axis=0)[::-1]
+    return np.where(held > 0, sums % 65535 + 1, 0).astype(">u2").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
