@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.order import cuts_below
+
 #: The band: least and greatest share of all documents that a lexicon term lies in, and the least number.
 MIN_SHARE = 0.001
 MAX_SHARE = 0.05
@@ -34,7 +36,7 @@ LEVELS = 5
 #: Terms that a broadcast lexicon may have; a larger one raises MIN_SHARE's bound as the cause.
 MAX_LEXICON = 20_000_000
 #: Documents of one bucket of neighbours, about.
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 1024
 #: Distinct terms that a task counts before it hands the counts on.
 HELD_TERMS = 1_000_000
 
@@ -147,10 +149,8 @@ def in_descending_order(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if parts > 1:
         asked = F.percentile_approx(at, [k / parts for k in range(1, parts)], 20 * parts)
         cuts = sorted(set(rows.select(asked.alias("q")).first()["q"]))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    # The number of cuts below an id; buckets are numbered from the highest ids down.
-    below = F.size(F.filter(bounds, lambda c: c < at)) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", F.lit(len(cuts)) - below)
+    # Buckets are numbered from the highest ids down.
+    rows = rows.withColumn("bucket", F.lit(len(cuts)) - cuts_below(at, cuts))
     tops = rows.groupBy("bucket").agg(F.max(at).alias("top"))  # a row for each bucket
     w = Window.orderBy("bucket")
     tops = tops.select("bucket", "top", F.lag("bucket").over(w).alias("ahead"), F.max("bucket").over(Window.partitionBy()).alias("last"))
