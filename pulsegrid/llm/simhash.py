@@ -31,9 +31,9 @@ from pulsegrid.llm.common import materialise
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Fingerprints that the driver samples to build the tree, and fingerprints of a shard, about.
+#: Fingerprints that the driver samples to build the tree, and distinct fingerprints of a shard, about.
 SAMPLE = 20_000
-SHARD = 20_000
+SHARD = 5_000
 #: A part of a shard this small is searched directly.
 LEAF = 256
 #: Copies of the labels in the last join: a third of all rows may share one fingerprint.
