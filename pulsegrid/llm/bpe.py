@@ -250,7 +250,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     def ids(texts: pd.Series) -> pd.Series:
         return pd.Series(vocabulary(path).encode_batch(texts.tolist()))
 
-    return docs.withColumn(out, ids(F.col(text_col).cast("string")))
+    # Marked so that the planner keeps it apart: folded into what reads the ids, it would run once for each reader.
+    return docs.withColumn(out, ids.asNondeterministic()(F.col(text_col).cast("string")))
 
 
 def decode(path: str, ids_col: str = "ids") -> Column:
