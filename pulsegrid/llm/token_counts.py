@@ -1,9 +1,11 @@
 """Token counts by counting pieces once per distinct pre-token.
 
 Documents are split into pre-tokens and their frequencies counted, in batches: a batch has one row
-for each distinct pre-token, with the documents it occurs in and how often.  Each distinct pre-token
-of the corpus is encoded once, its number of pieces joined to these rows, and the products summed
-for each document.  No list of ids is ever built for a document.
+for each distinct pre-token, with the documents it occurs in and how often.  These rows are dealt and
+sorted by pre-token, so that each distinct one is encoded once where all its rows meet, and its number of
+pieces is joined to them there; the products are summed for each document.  A pre-token that many
+documents of a batch have is dealt over ``HOT_PARTS`` tasks and encoded once in each.  No list of ids is
+ever built for a document.
 
 Null text counts as empty and has no token.  Repeated rows and equal or null ids are counted row by
 row.  Extra columns play no part.
@@ -20,15 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe import Numbering, vocabulary
-from pulsegrid.llm.common import materialise
 
 #: Bounds of a batch: documents (they are numbered in 16 bits) and characters of text.
 BATCH_DOCS = 16_384
 BATCH_CHARS = 1 << 24
 #: Documents for which a task holds sums before it hands them on.
 HELD_SUMS = 1 << 21
+#: Rows of pre-tokens, or bytes, that a task takes at once: many distinct ones are encoded together.
+WAITING_ROWS = 200_000
+WAITING_BYTES = 1 << 25
+#: A pre-token in more than this share of a batch's documents is dealt over so many tasks.
+HOT_SHARE = 0.1
+HOT_PARTS = 64
 
-ROWS = "batch long, token string, posts binary, ids array<string>, n_bytes array<long>"
+ROWS = "batch long, part int, token string, posts binary, ids array<string>, n_bytes array<long>"
+SUMS = "batch long, posts binary, ids array<string>, n_bytes array<long>"
 
 
 def pack(docs: np.ndarray, counts: np.ndarray) -> bytes:
@@ -74,49 +82,86 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
             token, doc = np.divmod(keys, n)
             cuts = np.searchsorted(token, np.arange(len(number) + 1)).tolist()
             n_bytes = [len(t.encode("utf-8", "replace")) for t in texts]
-            yield pd.DataFrame({"batch": [batch], "token": [None], "posts": [None], "ids": [ids], "n_bytes": [n_bytes]})
+            yield pd.DataFrame({"batch": [batch], "part": 0, "token": [None], "posts": [None], "ids": [ids], "n_bytes": [n_bytes]})
             tokens = list(number)
             for a in range(0, len(tokens), 50_000):
                 some = range(a, min(a + 50_000, len(tokens)))
                 posts = [pack(doc[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]]) for k in some]
-                yield pd.DataFrame({"batch": batch, "token": tokens[a : a + 50_000], "posts": posts, "ids": None, "n_bytes": None})
+                hot = np.diff(cuts[a : a + len(some) + 1]) > max(16, HOT_SHARE * n)
+                part = np.where(hot, 1 + (batch ^ batch >> 24) % HOT_PARTS, 0)
+                yield pd.DataFrame(
+                    {"batch": batch, "part": part, "token": tokens[a : a + 50_000], "posts": posts, "ids": None, "n_bytes": None}
+                )
             batch += 1
 
     return docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(split, ROWS)
 
 
-def count_pieces(tokens: DataFrame, path: str) -> DataFrame:
-    """``tokens`` (distinct) with the number of ids of each."""
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({"token": pdf["token"], "pieces": vocabulary(path).pieces(pdf["token"].tolist())})
-
-    return tokens.mapInPandas(count, "token string, pieces int")
-
-
-def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(batch, pieces, posts) to the sums that this task knows for the documents of each batch."""
-    held: dict[int, np.ndarray] = {}
+def add_posts(sums: np.ndarray, base: np.ndarray, pieces: np.ndarray, posts: list[bytes]) -> None:
+    """Add pieces * frequency to the sums at base + document, for all posts; those of one length together."""
+    lengths = np.fromiter(map(len, posts), np.int64, len(posts))
+    order = np.argsort(lengths, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(lengths[order])) + 1).tolist(), len(order)]
+    for a, b in zip(cuts, cuts[1:]):
+        rows, size = order[a:b], int(lengths[order[a]])
+        table = np.frombuffer(b"".join([posts[k] for k in rows.tolist()]), np.uint8).reshape(-1, size)
+        for width in (1, 4):
+            of = np.flatnonzero(table[:, 0] == width)
+            if len(of):
+                n = (size - 1) // (2 + width)
+                docs = np.ascontiguousarray(table[of, 1 : 1 + 2 * n]).view("<u2").astype(np.int64)
+                counts = np.ascontiguousarray(table[of, 1 + 2 * n :]).view("u1" if width == 1 else "<u4").astype(np.int64)
+                np.add.at(sums, (base[rows[of], None] + docs).ravel(), (counts * pieces[rows[of], None]).ravel())
+
+
+def _sums(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+    """Rows of pre-tokens to the sums that this task knows for the documents of each batch; the rows that
+    name a batch's documents pass through."""
+    slots: dict[int, int] = {}  # batches with sums, by their place in ``sums``
+    sums = np.zeros(HELD_SUMS, np.int64)
+    last: tuple[str | None, int] = (None, 0)  # the pre-token that the next frame may go on with
 
     def told() -> pd.DataFrame:
         posts = []
-        for sums in held.values():
-            at = np.flatnonzero(sums)
-            posts.append(at.astype("<u2").tobytes() + sums[at].astype("<i8").tobytes())
-        return pd.DataFrame({"batch": list(held), "posts": posts})
-
+        for slot in slots.values():
+            own = sums[slot * BATCH_DOCS : (slot + 1) * BATCH_DOCS]
+            at = np.flatnonzero(own)
+            posts.append(at.astype("<u2").tobytes() + own[at].astype("<i8").tobytes())
+        out = pd.DataFrame({"batch": list(slots), "posts": posts, "ids": None, "n_bytes": None})
+        slots.clear()
+        sums[:] = 0
+        return out
+
+    def add(batches: list[int], tokens: list[str], all_posts: list[bytes]) -> Iterator[pd.DataFrame]:
+        nonlocal last
+        new = [t for t in dict.fromkeys(tokens) if t != last[0]]
+        pieces = dict(zip(new, vocabulary(path).pieces(new).tolist())) | {last[0]: last[1]}
+        room = HELD_SUMS // BATCH_DOCS
+        step = len(tokens) if len(set(batches)) <= room else room  # rows that surely fit once the sums are told
+        for a in range(0, len(tokens), step):
+            some = slice(a, a + step)
+            if len(slots.keys() | set(batches[some])) > room:
+                yield told()
+            base = np.array([BATCH_DOCS * slots.setdefault(b, len(slots)) for b in batches[some]], np.int64)
+            add_posts(sums, base, np.array([pieces[t] for t in tokens[some]], np.int64), all_posts[some])
+        last = (tokens[-1], pieces[tokens[-1]])
+
+    waiting: tuple[list, list, list] = ([], [], [])
+    size = 0
     for pdf in frames:
-        for batch, pieces, posts in zip(pdf["batch"].tolist(), pdf["pieces"].tolist(), pdf["posts"].tolist()):
-            docs, counts = unpack(posts)
-            sums = held.get(batch)
-            if sums is None:
-                if len(held) * BATCH_DOCS >= HELD_SUMS:
-                    yield told()
-                    held.clear()
-                sums = held[batch] = np.zeros(BATCH_DOCS, np.int64)
-            sums[docs] += counts.astype(np.int64) * pieces
-    if held:
+        named = pdf["token"].isna()
+        if named.any():
+            yield pdf.loc[named, ["batch", "posts", "ids", "n_bytes"]]
+            pdf = pdf[~named]
+        for to, name in zip(waiting, ("batch", "token", "posts")):
+            to.extend(pdf[name].tolist())
+        size += sum(map(len, pdf["posts"]))
+        if len(waiting[0]) >= WAITING_ROWS or size >= WAITING_BYTES:
+            yield from add(*waiting)
+            waiting, size = ([], [], []), 0
+    if waiting[0]:
+        yield from add(*waiting)
+    if slots:
         yield told()
 
 
@@ -132,10 +177,7 @@ def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_bytes and n_tokens of each row of ``docs`` (doc_id, text)."""
-    rows = materialise(frequencies(docs, path), "frequencies")
-    posts = rows.where("token IS NOT NULL").select("batch", "token", "posts")
-    pieces = count_pieces(posts.select("token").distinct(), path)
-    known = posts.join(pieces, "token").select("batch", "pieces", "posts").mapInPandas(_sums, "batch long, posts binary")
-    named = rows.where("token IS NULL").select("batch", "posts", "ids", "n_bytes")
-    both = known.unionByName(named, allowMissingColumns=True)
-    return both.groupBy("batch").applyInPandas(_totals, "doc_id long, n_bytes long, n_tokens long")
+    of = F.when(F.col("token").isNull(), F.xxhash64("batch")).otherwise(F.xxhash64("token", "part"))
+    dealt = frequencies(docs, path).repartition(of).sortWithinPartitions("token")
+    known = dealt.mapInPandas(lambda frames: _sums(frames, path), SUMS)
+    return known.groupBy("batch").applyInPandas(_totals, "doc_id long, n_bytes long, n_tokens long")

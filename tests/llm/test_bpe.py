@@ -79,3 +79,27 @@ def test_frequencies_are_packed_whole():
     for counts in (np.array([1, 2, 255]), np.array([1, 70000, 3])):
         a, b = token_counts.unpack(token_counts.pack(docs, counts))
         assert a.tolist() == docs.tolist() and b.tolist() == counts.tolist()
+
+
+def test_sums_of_posts():
+    rng = random.Random(2)
+    sums, want = np.zeros(4 * 64, np.int64), [0] * (4 * 64)
+    base, pieces, posts = [], [], []
+    for _ in range(300):
+        docs = sorted(rng.sample(range(64), rng.randint(1, 5)))
+        counts = [rng.choice([1, 2, 300]) for _ in docs]
+        base.append(64 * rng.randint(0, 3))
+        pieces.append(rng.randint(1, 9))
+        posts.append(token_counts.pack(np.array(docs), np.array(counts)))
+        for d, c in zip(docs, counts):
+            want[base[-1] + d] += c * pieces[-1]
+    token_counts.add_posts(sums, np.array(base), np.array(pieces), posts)
+    assert sums.tolist() == want
+
+
+def test_counts_of_many_partitions(docs, library):
+    docs = docs.repartition(9)
+    got = token_counts.token_counts(docs, PATH).collect()
+    assert len(got) == docs.count()
+    ids = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in got} == ids
