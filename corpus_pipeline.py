@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, mixing, pii, quality_rules, simhash
+from pulsegrid.llm import bpe, mixing, near_copies, pii, quality_rules, simhash
 from pulsegrid.llm.common import materialise, table
 
 
@@ -19,8 +19,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near-duplicates, by fingerprint or by five-word shingles, the document with the least id stays."""
+    return simhash.keep_one(docs, alike=near_copies.ALIKE)
 
 
 def private_data_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

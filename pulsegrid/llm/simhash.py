@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm import near_copies
 from pulsegrid.llm.common import materialise
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints differ at most.
@@ -211,10 +212,11 @@ def _marked(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFr
     return materialise(rows, "fingerprints")
 
 
-def _labelled(marked: DataFrame, radius: int) -> DataFrame:
-    """``marked`` with component_id."""
+def _labelled(marked: DataFrame, radius: int, further: DataFrame | None = None) -> DataFrame:
+    """``marked`` with component_id; ``further`` has links (a, b) of fingerprints besides those within ``radius``."""
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, radius))
+    linked = links(distinct, radius)
+    roots = components(linked if further is None else linked.unionByName(further))
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -234,13 +236,23 @@ def simhash_components(
     return labelled.select("doc_id", hex_digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, alike: float | None = None) -> DataFrame:
     """The document with the least id of each component, with its own columns.
 
     Rows equal in id and text count once.  A null id stays only where no document of its component has one.
+    With ``alike``, documents whose five-word shingles are at least that similar are linked as well.
     """
-    labelled = _labelled(_marked(docs, shingle, "doc_id", "text"), radius)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    further = None
+    if alike is None:
+        marked = _marked(docs, shingle, "doc_id", "text")
+    else:
+        text = F.col("text")
+        rows = docs.select("doc_id", fingerprints(text, shingle).alias("fp"), F.xxhash64(text).alias("text_hash"), near_copies.sketches(text).alias("s"))
+        marked = materialise(rows.select("doc_id", "fp", "text_hash", "s.*"), "fingerprints")
+        further = near_copies.near_links(docs, marked.withColumn("k_id", key), components, alike)
+        marked = marked.drop("key", "bands")
+    labelled = _labelled(marked, radius, further)
     firsts = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     firsts = firsts.select(key.alias("__keep_id"), F.col("text_hash").alias("__keep_text")).distinct()
     keyed = docs.withColumn("__keep_id", key).withColumn("__keep_text", F.xxhash64("text"))
