@@ -2,7 +2,8 @@
 
 Zstandard ratios (bytes before / bytes after) of the whole document and of fixed chunks are held
 against bands that depend on length: text above its band repeats itself, text below it does not
-compress as language does.  Base rules (too few words, too many repeated words) come first.
+compress as language does.  Chunks cover the whole text from ``CHUNKED_FROM`` bytes on: what is left after
+the full chunks is judged as one more chunk, which ends with the text and overlaps the one before.  Base rules (too few words, too many repeated words) come first.
 
 Nulls and empty texts count as having no word, so the base rule rejects them.  Repeated rows are
 judged alike.  Extra columns play no part.
@@ -34,7 +35,15 @@ WHOLE_BANDS: Sequence[tuple[int, float, float]] = (
 )
 CHUNK_BYTES = 4096
 CHUNK_BAND = (1.35, 3.4)
-#: A document goes when more than this share of its full chunks lies outside the band.
+#: (bytes of the text below, chunk bytes, least ratio, greatest ratio): shorter texts have smaller chunks, each
+#: with a band for its length.
+SMALL_CHUNKS: Sequence[tuple[int, int, float, float]] = (
+    (2048, 512, 1.25, 2.8),
+    (8192, 1024, 1.35, 3.0),
+)
+#: Texts below this many bytes are held against the whole band only.
+CHUNKED_FROM = 1024
+#: A document goes when more than this share of its chunks lies outside the band.
 CHUNK_SHARE = 0.25
 LEVEL = 3
 MIN_WORDS = 10
@@ -87,6 +96,20 @@ def band_of(n_bytes: int, bands: Sequence[tuple[int, float, float]]) -> tuple[fl
     return low, high
 
 
+def chunks_of(n_bytes: int, chunk_bytes: int, chunk_band: tuple[float, float]) -> tuple[list[int], int, tuple[float, float]]:
+    """Starts of the chunks of a text, their bytes and their band; the last chunk ends with the text."""
+    if n_bytes < min(CHUNKED_FROM, chunk_bytes):
+        return [], chunk_bytes, chunk_band
+    for below, small, low, high in SMALL_CHUNKS:
+        if n_bytes < below and small < chunk_bytes:
+            chunk_bytes, chunk_band = small, (low, high)
+            break
+    starts = list(range(0, n_bytes - chunk_bytes + 1, chunk_bytes))
+    if n_bytes % chunk_bytes:
+        starts.append(n_bytes - chunk_bytes)
+    return starts, chunk_bytes, chunk_band
+
+
 def judge_texts(texts, bands=WHOLE_BANDS, chunk_bytes=CHUNK_BYTES, chunk_band=CHUNK_BAND, chunk_share=CHUNK_SHARE):
     import zstandard
 
@@ -102,11 +125,9 @@ def judge_texts(texts, bands=WHOLE_BANDS, chunk_bytes=CHUNK_BYTES, chunk_band=CH
         failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
         low, high = band_of(len(raw), bands)
         ratio = len(raw) / len(press(raw)) if raw else 0.0
-        n_chunks = len(raw) // chunk_bytes
-        bad = 0
-        for k in range(n_chunks):
-            r = chunk_bytes / len(press(raw[k * chunk_bytes : (k + 1) * chunk_bytes]))
-            bad += not chunk_band[0] <= r <= chunk_band[1]
+        starts, size, (least, most) = chunks_of(len(raw), chunk_bytes, chunk_band)
+        n_chunks = len(starts)
+        bad = sum(not least <= size / len(press(raw[k : k + size])) <= most for k in starts)
         good = low <= ratio <= high and bad <= chunk_share * n_chunks
         rows.append(
             (
