@@ -2,13 +2,14 @@
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards (Luhn) and phone numbers.  Then terms that
 disclose a protected entity are added: over the whole corpus, the co-occurrence of an entity with the terms
-around its mentions estimates how much a term tells about it,
+of its documents estimates how much a term tells about it,
 
     disclosure = PMI(term; entity) / IC(entity) = ln(n_et * N / (n_e * n_t)) / ln(N / n_e),
 
-with document counts n_et (the term near the entity), n_e, n_t and N.  At 1 the term occurs only near that
-entity.  Terms from ``DISCLOSURE`` on are generalised, those from ``REMOVE`` on are removed.  A term counts
-only with ``MIN_DOCS`` documents: fewer are no estimate.  Documents without a base span are left alone.
+with document counts n_et (the term in documents with the entity), n_e, n_t and N.  At 1 the term occurs only
+in documents with that entity.  Terms from ``DISCLOSURE`` on are generalised, those from ``REMOVE`` on are removed.  A term counts
+only with ``MIN_DOCS`` documents: fewer are no estimate.  A disclosing term is treated wherever it stands outside
+base spans, in documents without the entity too.
 
 A null text counts as empty.  Repeated rows get the same spans.  Extra columns play no part.
 """
@@ -38,13 +39,16 @@ _HINT_PATTERN = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]"}
 TERM = r"[\p{L}\p{N}'-]+"
 NOT_TERM = r"[^\p{L}\p{N}'-]+"
 
-#: Code points on each side of a mention in which terms count as near, and least length of a term.
+#: Code points on each side of a mention that the tests' count by windows takes; the counts here take whole documents.
 NEAR = 48
+#: Least length of a term.
 MIN_TERM = 3
 MIN_DOCS = 3
 DISCLOSURE = 0.9
 REMOVE = 0.999
-#: Copies of the disclosing pairs in the join back: one entity may be in a third of all documents.
+#: Entities or disclosing terms that are broadcast at most, after a count; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
+#: Copies of them in that join: one entity or term may be in a third of all documents.
 SALTS = 8
 #: Placeholders of the sanitised text.
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
@@ -76,7 +80,7 @@ def _valid(kind: str, value: Column) -> Column:
     return F.when(n.between(14, 19), _luhn(digits)).otherwise(False) if kind == "card" else n.between(10, 15)
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points.
 
     Lengths of the pieces between the matches and of the matches give the places.
@@ -130,38 +134,22 @@ def _entity(m: Column) -> Column:
     return F.concat_ws(":", m["kind"], value)
 
 
-def _near(text: Column, mentions: Column) -> Column:
-    """array<struct<entity, term, start, end>>: whole terms around each mention that overlap no base span."""
-
-    def around(m: Column) -> Column:
-        left_from = F.greatest(m["start"] - NEAR, F.lit(0))
-        left = F.substring(text, left_from + 1, m["start"] - left_from)
-        right = F.substring(text, m["end"] + 1, F.lit(NEAR))
-        # A term that the window may cut is left out: the first of a left part that does not begin the text,
-        # the last of a right part that is full.
-        before = F.filter(matches(left, TERM), lambda t: (t["start"] > 0) | (left_from == 0))
-        after = F.filter(matches(right, TERM), lambda t: (t["end"] < NEAR))
-        both = F.concat(_moved(before, left_from), _moved(after, m["end"]))
-        both = F.filter(
-            both,
-            lambda t: (F.length(t["value"]) >= MIN_TERM)
-            & t["value"].rlike(r"\p{L}")
-            & ~F.exists(mentions, lambda o: (o["start"] <= t["end"]) & (t["start"] <= o["end"])),
-        )
-        return F.transform(
-            both,
-            lambda t: F.struct(
-                _entity(m).alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")
-            ),
-        )
-
-    return F.flatten(F.transform(mentions, around))
-
-
-def _moved(terms: Column, by: Column) -> Column:
-    return F.transform(
-        terms, lambda t: F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), t["value"].alias("value"))
-    )
+def _forms(text: Column) -> Column:
+    """The distinct terms of a text as they are written."""
+    return F.array_distinct(F.split(text, NOT_TERM))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text in lower case."""
+    return F.array_distinct(F.transform(_forms(text), F.lower))
+
+
+def _join_salted(rows: DataFrame, few: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with k_text) joined with ``few`` by ``name``, which ``few`` has once: by broadcast, or with salts."""
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), name)
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.col("k_text"), F.lit(SALTS)).cast("int")).join(salted, [name, "salt"]).drop("salt")
 
 
 def _key(id_col: str, text: Column) -> list[Column]:
@@ -170,52 +158,65 @@ def _key(id_col: str, text: Column) -> list[Column]:
 
 
 def find_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k_id, k_text, doc_id, base (mentions) and near (the terms around them), written out."""
+    """k_id, k_text, doc_id, base (mentions) and, where there are any, the terms of the document, written out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("base", base_mentions(F.col("text")))
-    near = F.when(F.size("base") > 0, _near(F.col("text"), F.col("base")))
-    return materialise(rows.select(*_key("doc_id", F.col("text")), "doc_id", "base", near.alias("near")), "mentions")
+    terms = F.when(F.size("base") > 0, _terms(F.col("text")))
+    return materialise(rows.select(*_key("doc_id", F.col("text")), "doc_id", "base", terms.alias("terms")), "mentions")
 
 
 def term_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """term and n_t, the number of documents that hold it, over all of ``docs``."""
-    words = F.array_distinct(F.split(F.lower(text_or_empty(text_col)), NOT_TERM))
-    each = docs.select(F.explode(words).alias("term")).where(F.length("term") >= MIN_TERM)
+    each = docs.select(F.explode(_terms(text_or_empty(text_col))).alias("term")).where(F.length("term") >= MIN_TERM)
     return each.groupBy("term").agg(F.count("*").alias("n_t"))
 
 
 def disclosing_terms(docs: DataFrame, mentions: DataFrame, least: float = DISCLOSURE, min_docs: int = MIN_DOCS) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or above the threshold."""
     n = mentions.count()
-    key = ["k_id", "k_text"]
-    near = mentions.where(F.size("near") > 0).select(*key, F.explode("near").alias("t")).select(*key, "t.entity", "t.term")
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_docs)
-    held = mentions.where(F.size("base") > 0).select(*key, F.explode(F.transform("base", _entity)).alias("entity"))
-    held = held.distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_docs)
-    both = pairs.join(held, "entity").join(term_documents(docs), "term")
+    held = mentions.where(F.size("base") > 0).dropDuplicates(["k_id", "k_text"])
+    held = held.select("k_text", "terms", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    often = held.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= min_docs) & (F.col("n_e") < n))
+    each = _join_salted(held, materialise(often, "entities"), "entity").select("entity", "n_e", F.explode("terms").alias("term"))
+    pairs = each.where(F.length("term") >= MIN_TERM).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et"))
+    pairs = pairs.where((F.col("n_et") >= min_docs) & F.col("term").rlike(r"\p{L}"))
+    both = pairs.join(term_documents(docs), "term")
     pmi = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
     known = F.log(F.lit(float(n)) / F.col("n_e"))
-    both = both.where(F.col("n_e") < n).withColumn("disclosure", pmi / known)
+    both = both.withColumn("disclosure", pmi / known)
     return both.where(F.col("disclosure") >= least).select("entity", "term", "disclosure")
 
 
-def added_spans(mentions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """k_id, k_text and ``added``: array<struct<start, end, disclosure>> of the terms to treat."""
-    salt = F.pmod(F.col("k_text"), F.lit(SALTS)).cast("int").alias("salt")
-    near = mentions.where(F.size("near") > 0).select("k_id", "k_text", salt, F.explode("near").alias("t"))
-    near = near.select("k_id", "k_text", "salt", "t.entity", "t.term", "t.start", "t.end")
-    salted = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = near.join(salted, ["entity", "term", "salt"]).groupBy("k_id", "k_text", "start", "end")
-    hits = hits.agg(F.max("disclosure").alias("disclosure"))
-    span = F.struct("start", "end", "disclosure")
-    return hits.groupBy("k_id", "k_text").agg(F.sort_array(F.collect_list(span)).alias("added"))
+def added_spans(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """k_id, k_text and ``added``: array<struct<start, end, disclosure>> of the terms to treat.
+
+    ``docs`` has doc_id and text.  Every place of a disclosing term counts that overlaps no base span.
+    """
+    terms = materialise(pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
+    rows = docs.select(*_key("doc_id", text_or_empty()), text_or_empty().alias("text"))
+    words = rows.select("k_id", "k_text", F.explode(_forms(F.col("text"))).alias("form")).where(F.length("form") >= MIN_TERM)
+    hits = _join_salted(words.withColumn("term", F.lower("form")), terms, "term")
+    # Repeated rows give the same forms.
+    forms = hits.groupBy("k_id", "k_text").agg(F.sort_array(F.collect_set(F.struct("form", "disclosure"))).alias("forms"))
+    found = rows.join(materialise(forms, "forms"), ["k_id", "k_text"]).withColumn("base", base_mentions(F.col("text")))
+    any_form = F.array_join(F.transform("forms", lambda f: f["form"]), "|")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}'-])(?:"), any_form, F.lit(r")(?![\p{L}\p{N}'-])"))
+    free = F.filter(
+        matches(F.col("text"), pattern), lambda t: ~F.exists("base", lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"]))
+    )
+    of = F.map_from_entries("forms")
+    added = F.transform(
+        free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.element_at(of, t["value"]).alias("disclosure"))
+    )
+    found = found.select("k_id", "k_text", added.alias("added")).where(F.size("added") > 0)
+    return found.dropDuplicates(["k_id", "k_text"])
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and spans (array<struct<start, kind, end>>), and added."""
     mentions = find_mentions(docs, id_col, text_col)
-    rows = docs.select(text_or_empty(text_col).alias("text")) if text_col != "text" else docs
-    added = added_spans(mentions, disclosing_terms(rows, mentions, **limits))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    added = added_spans(rows, disclosing_terms(rows, mentions, **limits))
     bare = F.transform("base", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     terms = F.transform("added", lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end")))
     joined = mentions.join(added, ["k_id", "k_text"], "left")
@@ -228,7 +229,7 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` with base spans replaced by placeholders, disclosing terms generalised or removed, and
     ``n_chars`` (where there is one) brought up to date."""
     mentions = find_mentions(docs)
-    added = added_spans(mentions, disclosing_terms(docs, mentions, **limits))
+    added = added_spans(docs, disclosing_terms(docs, mentions, **limits))
     added = added.withColumnsRenamed({"k_id": "__k_id", "k_text": "__k_text", "added": "__added"})
     text = text_or_empty()
     k_id, k_text = _key("doc_id", text)
@@ -263,7 +264,7 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
             )
         ),
     )
-    rows = rows.withColumn("__spans", F.when((F.size("__base") > 0), merged).otherwise(none))
+    rows = rows.withColumn("__spans", merged)
     spans = F.col("__spans")
     pieces = F.transform(
         spans,
