@@ -35,9 +35,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids (little-endian 32-bit) and number; ``text`` is what the ids decode to."""
-    path = bpe.default_path()
-    encoded = bpe.encode(docs, path)
-    return encoded.withColumn("text", bpe.decode(path)).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    encoded = bpe.encode(docs, bpe.default_path(), back="text")
+    return encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES = [

@@ -7,7 +7,9 @@ worker has encoded stays in a bounded cache, so each batch only indexes pre-toke
 
 The vocabulary is the JSON file of the tokenizers library; its path is a parameter and every worker
 reads it where the library is installed.  Null text counts as empty.  Special strings inside a text
-become their own id, as the library does by default.
+become their own id, as the library does by default.  Repeated rows are encoded alike, row by row; an
+empty table gives an empty one.  A long text is never cut: it is encoded at once, in memory in proportion
+to its length, and what a worker holds besides is bounded by ``STEP_CHARS`` and ``CACHE_ENTRIES``.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ PRETOKEN = _SPLIT.format(letter=r"\p{L}", digit=r"\p{N}", space=_SPACE)
 PRETOKEN_LATIN = _SPLIT.format(letter=r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", digit="0-9", space=_SPACE)
 NOT_LATIN = r"[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ -⁯₠-₿]"
 #: Pre-tokens that a worker remembers, and characters of text that it splits before it merges.
-CACHE_ENTRIES = 600_000
-STEP_CHARS = 1 << 23
+CACHE_ENTRIES = 300_000
+STEP_CHARS = 1 << 22
 _DEAD = -2
 _BREAK = -1
 
@@ -198,20 +200,12 @@ class Vocabulary:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        step: list[np.ndarray] = []
-        size = 0
-        for text in texts:
-            step.append(np.fromiter(map(self.number.__getitem__, self.words(text or "")), np.int32))
-            size += len(text or "")
-            if size >= STEP_CHARS:
-                out += self._assemble(step)
-                step, size = [], 0
-        return out + self._assemble(step)
+        for step in _steps(texts):
+            out += self._assemble([np.fromiter(map(self.number.__getitem__, self.words(t or "")), np.int32) for t in step])
+        return out
 
     def _assemble(self, step: list[np.ndarray]) -> list[bytes]:
         self._learn()
-        if not step:
-            return []
         numbers = np.concatenate(step)
         begin, end = self.ends[numbers], self.ends[numbers + 1]
         stops = np.concatenate(([0], np.cumsum(end - begin)))
@@ -240,18 +234,39 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
     """``docs`` and a binary column of little-endian unsigned 32-bit ids.
 
-    A column of ``docs`` that is already named ``out`` is replaced.
+    With ``back``, a column of that name has what the ids decode to; the same pass makes both, so that only one
+    worker for each task holds a vocabulary.  Columns of ``docs`` that already have these names are replaced.
     """
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(vocabulary(path).encode_batch(texts.tolist()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(path)
+        for texts in batches:
+            for part in _steps(texts.tolist()):
+                ids = v.encode_batch(part)
+                yield pd.DataFrame({"ids": ids, "text": [v.decode(x) if back else None for x in ids]}, columns=["ids", "text"])
 
+    coded = F.pandas_udf(run, "ids binary, text string")
     # Marked so that the planner keeps it apart: folded into what reads the ids, it would run once for each reader.
-    return docs.withColumn(out, ids.asNondeterministic()(F.col(text_col).cast("string")))
+    coded = docs.withColumn("__coded", coded.asNondeterministic()(F.col(text_col).cast("string")))
+    coded = coded.withColumn(out, F.col("__coded.ids"))
+    return (coded.withColumn(back, F.col("__coded.text")) if back else coded).drop("__coded")
+
+
+def _steps(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of about ``STEP_CHARS`` characters."""
+    step: list[str | None] = []
+    size = 0
+    for text in texts:
+        step.append(text)
+        size += len(text or "")
+        if size >= STEP_CHARS:
+            yield step
+            step, size = [], 0
+    if step:
+        yield step
 
 
 def decode(path: str, ids_col: str = "ids") -> Column:
