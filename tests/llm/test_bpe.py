@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
@@ -83,18 +84,24 @@ def test_frequencies_are_packed_whole():
 
 def test_sums_of_posts():
     rng = random.Random(2)
-    sums, want = np.zeros(4 * 64, np.int64), [0] * (4 * 64)
-    base, pieces, posts = [], [], []
+    want = {}
+    batch, pieces, posts = [], [], []
     for _ in range(300):
         docs = sorted(rng.sample(range(64), rng.randint(1, 5)))
         counts = [rng.choice([1, 2, 300]) for _ in docs]
-        base.append(64 * rng.randint(0, 3))
+        batch.append((rng.randint(0, 3) << 24) + rng.randint(0, 1))
         pieces.append(rng.randint(1, 9))
         posts.append(token_counts.pack(np.array(docs), np.array(counts)))
         for d, c in zip(docs, counts):
-            want[base[-1] + d] += c * pieces[-1]
-    token_counts.add_posts(sums, np.array(base), np.array(pieces), posts)
-    assert sums.tolist() == want
+            want[batch[-1], d] = want.get((batch[-1], d), 0) + c * pieces[-1]
+    held = token_counts._Held()
+    held.add(*token_counts.products(np.array(batch), np.array(pieces), posts))
+    got = {}
+    for r in held.told().itertuples():
+        docs, sums = token_counts.unpack(r.posts)
+        got |= {(r.batch, int(d)): int(n) for d, n in zip(docs, sums)}
+    assert got == want and held.n == 0
+    assert len(token_counts._Held().told()) == 0
 
 
 def test_counts_of_many_partitions(docs, library):
@@ -103,3 +110,15 @@ def test_counts_of_many_partitions(docs, library):
     assert len(got) == docs.count()
     ids = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
     assert {r.doc_id: r.n_tokens for r in got} == ids
+
+
+def test_sums_that_are_told_early_are_whole(docs, library, monkeypatch):
+    monkeypatch.setattr(token_counts, "HELD_SUMS", 100)
+    monkeypatch.setattr(token_counts, "WAITING_ROWS", 50)
+    rows = token_counts.frequencies(docs.repartition(3), PATH).toPandas().sort_values("token")
+    frames = [rows[a : a + 70] for a in range(0, len(rows), 70)]
+    told = pd.concat(token_counts._sums(iter(frames), PATH))
+    assert len(told) > 100
+    got = pd.concat([token_counts._totals(x) for _, x in told.groupby("batch")])
+    ids = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    assert dict(zip(got.doc_id, got.n_tokens)) == ids
