@@ -8,7 +8,8 @@ Urls that no rule fits get the verdict of a second, plain list of canonical urls
 in the same way), and ``default`` when that does not name them either.
 
 A null url, or one without ``://``, has an empty host and path and no candidates.  Repeated pages keep
-one row each.  Null ids are kept.  Of equal rules with different verdicts the blocking one wins.
+one row each.  Null ids are kept.  Of equal rules with different verdicts the blocking one wins.  An empty table of
+pages gives no row, and empty lists fit nothing.  Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ class BlockedBloom:
     def __init__(self, keys: DataFrame):
         """``keys``: a column ``key``.  The executors set the bits; the driver gets the words of the
         blocks that have any, at most ``MAX_BLOCKS`` blocks of 64 bytes."""
-        n = keys.count()
+        n = keys.count()  # of any keys, those that repeat too
         self.blocks = blocks = min(MAX_BLOCKS, max(1, -(-n * BITS_PER_KEY // BLOCK_BITS)))
 
         def set_bits(frames):
