@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -75,14 +76,18 @@ def event_code(spec: DimensionSpec, value: Column, strict: bool = True) -> Colum
     return F.when(value.isNotNull(), code)
 
 
+_NUMBER = r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?inf)"
+#: ``a-b``: either bound may be negative or have an exponent.
+_SPAN = re.compile(f"{_NUMBER}-{_NUMBER}")
+
+
 def parse_spec(text: str) -> DimensionSpec:
     """``name,min,max,width[,column][,a-b#c-d]``; the column number of stored files is skipped."""
     parts = [p.strip() for p in text.split(",")]
     if len(parts) < 4:
         raise ValueError(f"not a dimension: {text!r}")
     name, low, high, width = parts[0], *map(float, parts[1:4])
-    spans = [p for p in parts[4:] if "-" in p.lstrip("-")]
-    pairs = [tuple(map(float, s.rsplit("-", 1))) for p in spans for s in p.split("#") if s]
+    pairs = [(float(m[1]), float(m[2])) for p in parts[4:] for s in p.split("#") if (m := _SPAN.fullmatch(s.strip()))]
     return DimensionSpec(name, low, high, width, tuple(pairs))
 
 

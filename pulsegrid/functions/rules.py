@@ -73,8 +73,10 @@ def _sensor_on(rule: WindowRule, frame: Frame, name: str) -> Column:
 
 
 def _combined(rule: WindowRule, measure: Column, increase: Column) -> Column:
-    risen = increase > F.lit(rule.percent)
-    return risen & (measure > F.lit(rule.standard)) if rule.standard >= 0 else risen
+    high, risen = measure > F.lit(rule.standard), increase > F.lit(rule.percent)
+    if rule.percent < 0:
+        return high
+    return risen & high if rule.standard >= 0 else risen
 
 
 def _average(value: str, guard: str) -> Callable[[WindowRule, Frame], Column]:
@@ -101,13 +103,13 @@ def _rising(value: str, guard: str, risen: str, total: bool = False) -> Callable
 
 
 def _specific(rate: str, guard: str | None, rising: bool) -> Callable[[WindowRule, Frame], Column]:
-    """Grams for a kilowatt hour of brake work."""
+    """Grams for a kilowatt hour of brake work; a window without work is never bad, whatever the thresholds."""
 
     def rule(r: WindowRule, f: Frame) -> Column:
         on = _sensor_on(r, f, guard) if guard else F.lit(True)
         work = f.sum("brake_power")
         measure = F.lit(3600) * f.sum(rate) / F.when(work > 0, work)
-        return on & (_combined(r, measure, f.increase(rate)) if rising else measure > F.lit(r.standard))
+        return on & (work > 0) & (_combined(r, measure, f.increase(rate)) if rising else measure > F.lit(r.standard))
 
     return rule
 

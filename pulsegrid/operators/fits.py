@@ -11,22 +11,29 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def scores(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
-    """n, r2 (squared correlation), rmse and mae of the rows that have both values, for each group."""
+    """n, r2 (squared correlation), its p_value, rmse and mae of the rows that have both values, for each group."""
     a, p = F.col(actual), F.col(predicted)
     rows = df.where(a.isNotNull() & p.isNotNull())
-    return rows.groupBy(*keys).agg(
+    found = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         (F.corr(a, p) * F.corr(a, p)).alias("r2"),
         F.sqrt(F.avg((a - p) * (a - p))).alias("rmse"),
         F.avg(F.abs(a - p)).alias("mae"),
     )
 
+    @F.pandas_udf("double")
+    def significance(r2: pd.Series, n: pd.Series) -> pd.Series:  # a row for each group
+        return pd.Series([None if pd.isna(r) else p_value(float(r), int(k)) for r, k in zip(r2, n)], dtype="float64")
+
+    return found.withColumn("p_value", significance("r2", "n"))
+
 
 def p_value(r2: float, n: int) -> float:
     """Two-sided p of a correlation under Student's t with n - 2 degrees of freedom, by numerical integration."""

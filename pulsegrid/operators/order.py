@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows of a chunk, without its halo: small enough to spread a short series over the tasks there are.
 CHUNK_ROWS = 20_000
 #: Rows of a key range while the dense order is assigned, about; and ranges at most.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 25_000
 MAX_RANGES = 10_000
 
 
@@ -36,7 +36,7 @@ def cuts_below(value: Column, cuts: Sequence[int | float]) -> Column:
     return F.when(value.isNull(), 0).otherwise(F.least(whole * step + part, F.lit(len(cuts))))
 
 
-def with_index(df: DataFrame, key: str, *ties: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_index(df: DataFrame, key: str, *ties: str | Column, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with ``idx``: 0, 1, 2 ... by ``key`` (numeric), then ``ties``.
 
     Rows are numbered inside ranges of the key between approximate quantiles; the driver only sees the cuts,

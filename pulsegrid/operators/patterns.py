@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.rules import Frame, WindowRule
 from pulsegrid.operators.order import CHUNK_ROWS, in_chunks
-from pulsegrid.operators.windows import RUN, candidate_ahead, flag, unbroken
+from pulsegrid.operators.windows import RUN, candidate_ahead, unbroken
 
 LEVELWISE = 5
 
@@ -57,23 +57,39 @@ def sequence_text(order: WindowSpec, name: str, length: int) -> Column:
     return F.concat_ws(" ", *[F.lead(name, k).over(order) for k in range(length)])
 
 
-def occurrences(series: DataFrame, config: MiningConfig, length: int) -> DataFrame:
-    """A row for each offset that holds a whole sequence: idx, the text p_<dimension> of each dimension,
-    n_join (flagged starts within the lag) and cand (whether a flagged window of its run is near)."""
+def _sequences(series: DataFrame, config: MiningConfig) -> DataFrame:
+    """``series`` in one pass over its chunks: for each row and pattern length n the texts s<n>_<dimension> that start
+    there and whether the sequence is whole (whole<n>); is_anom, n_join (flagged starts within the lag) and cand
+    (whether a flagged window of its run is near)."""
     rule = config.rule
+    lengths = sorted(set(config.lengths))
 
     def add(order: WindowSpec) -> list[dict[str, Column]]:
         bad = unbroken(order, rule.length, config.run) & rule(Frame(order, rule.length))
-        out = {f"p_{d}": sequence_text(order, d, length) for d in config.dimensions}
+        out = {f"s{n}_{d}": sequence_text(order, d, n) for n in lengths for d in config.dimensions}
         out["n_join"] = F.sum(F.col("is_anom").cast("long")).over(order.rowsBetween(0, config.lag))
         out["cand"] = candidate_ahead(order, config.lag, config.run)
-        whole = F.lead("idx", length - 1).over(order).isNotNull()
-        out["__whole"] = whole & unbroken(order, length, config.run) if config.within_run else whole
+        for n in lengths:
+            whole = F.lead("idx", n - 1).over(order).isNotNull()
+            out[f"whole{n}"] = whole & unbroken(order, n, config.run) if config.within_run else whole
         return [{"is_anom": bad}, out]
 
-    ahead = max(length - 1, rule.length - 1 + config.lag)
-    rows = in_chunks(series, ahead, add, config.chunk_rows).where("__whole")
-    return rows.select("idx", *[f"p_{d}" for d in config.dimensions], "n_join", "cand", "is_anom")
+    ahead = max(max(lengths) - 1, rule.length - 1 + config.lag)
+    rows = in_chunks(series, ahead, add, config.chunk_rows)
+    return rows.select(
+        "idx", *[f"s{n}_{d}" for n in lengths for d in config.dimensions], *[f"whole{n}" for n in lengths], "n_join", "cand", "is_anom"
+    )
+
+
+def _of_length(sequences: DataFrame, config: MiningConfig, length: int) -> DataFrame:
+    names = [F.col(f"s{length}_{d}").alias(f"p_{d}") for d in config.dimensions]
+    return sequences.where(f"whole{length}").select("idx", *names, "n_join", "cand", "is_anom")
+
+
+def occurrences(series: DataFrame, config: MiningConfig, length: int) -> DataFrame:
+    """A row for each offset that holds a whole sequence: idx, the text p_<dimension> of each dimension,
+    n_join (flagged starts within the lag) and cand (whether a flagged window of its run is near)."""
+    return _of_length(_sequences(series, replace(config, lengths=(length,))), config, length)
 
 
 def _counted(groups) -> DataFrame:
@@ -93,7 +109,6 @@ def _cube(rows: DataFrame, names: Sequence[str], least: float) -> DataFrame:
 
 def _levelwise(rows: DataFrame, names: Sequence[str], least: float) -> DataFrame:
     """Grouping sets by size; what the driver keeps is which sets have a member, at most 2 ** dimensions."""
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     levels: list[DataFrame] = []
     alive: set[frozenset[str]] = set()
     sets = [frozenset([n]) for n in names]
@@ -116,14 +131,17 @@ def candidates(series: DataFrame, config: MiningConfig) -> DataFrame:
 
     Columns: a p_<dimension> for each dimension (null: not part of the pattern), pattern_len, n_dims, cnt,
     join_cnt, distinct_join, support, k_value, confidence.
+
+    The series is read, ordered and cut once, for all lengths; its sequences are held (memory, then disk) until the
+    patterns are counted, which happens here.  The patterns are held until ``spark.catalog.clearCache()``.
     """
     names = [f"p_{d}" for d in config.dimensions]
     out = []
-    flagged = flag(series, config.rule, run=config.run, chunk_rows=config.chunk_rows)
-    total = flagged.agg(F.count("*").alias("n"), F.sum(F.col("is_anom").cast("long")).alias("w")).first()
+    sequences = _sequences(series, config).persist(StorageLevel.MEMORY_AND_DISK)
+    total = sequences.agg(F.count("*").alias("n"), F.sum(F.col("is_anom").cast("long")).alias("w")).first()
     n, w = total["n"], total["w"] or 0
     for length in config.lengths:
-        rows = occurrences(series, config, length)
+        rows = _of_length(sequences, config, length)
         by_level = config.strategy == "levelwise" or (config.strategy == "auto" and len(names) >= LEVELWISE)
         # A set is worth a level of its own only if its support does; the exact share is tested again below.
         least = config.min_support * n * (1 - 1e-9)
@@ -138,11 +156,23 @@ def candidates(series: DataFrame, config: MiningConfig) -> DataFrame:
             "join_cnt",
             "distinct_join",
             (count / F.lit(float(max(n, 1)))).alias("support"),
-            F.when(F.lit(w > 0), (F.lit(n) * F.col("join_cnt")).cast("double") / (count * F.lit(max(bad, 1.0)))).alias("k_value"),
+            F.when(F.lit(w > 0), F.lit(float(n)) * F.col("join_cnt").cast("double") / (count * F.lit(max(bad, 1.0)))).alias("k_value"),
             (F.col("distinct_join") / count).alias("confidence"),
         )
         out.append(found.where(F.col("support") >= config.min_support))
-    return reduce(DataFrame.unionByName, out)
+    counted = reduce(DataFrame.unionByName, out).persist(StorageLevel.MEMORY_AND_DISK)
+    counted.count()
+    sequences.unpersist()
+    return counted
+
+
+def filter_log(log: DataFrame, k_threshold: float = 1.0, min_support: float = 0.0) -> DataFrame:
+    """block, k_value, n_starts of the patterns of an occurrence log (block, start_idx, k_value) with cross-K from the
+    threshold on and enough starts, as a share of the log's lines (a start each, and a cross-K for each block)."""
+    blocks = log.groupBy("block").agg(F.max("k_value").alias("k_value"), F.count("*").alias("n_starts"))
+    lines = blocks.agg((F.sum("n_starts") + F.count("*")).alias("lines")).select("lines")  # one row
+    kept = blocks.join(F.broadcast(lines)).where((F.col("k_value") >= k_threshold) & (F.col("n_starts") >= min_support * F.col("lines")))
+    return kept.select("block", "k_value", "n_starts")
 
 
 def mine(series: DataFrame, config: MiningConfig) -> DataFrame:
@@ -199,7 +229,7 @@ def report(patterns: DataFrame, n_rows: int, n_windows: int) -> DataFrame:
         pattern_text(patterns),
         F.format_string("count %d, support %.6f", "cnt", "support"),
         F.format_string("windows %d, support %.6f", F.lit(n_windows), F.lit(n_windows / max(n_rows, 1))),
-        F.format_string("joint %d, support %.6f", F.col("join_cnt"), joint),
+        F.format_string("joint %d (%d distinct), support %.6f", "join_cnt", "distinct_join", joint),
         F.format_string("cross-K %.6f, confidence %.6f", "k_value", "confidence"),
     ]
     return patterns.withColumn("report", F.concat_ws("\n", *lines))

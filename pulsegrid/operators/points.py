@@ -66,7 +66,7 @@ def divergence(theory: Column, actual: Column) -> Column:
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str = "idx") -> DataFrame:
     """n rows at random: those least by a hash of ``key`` with ``seed``, so a rerun gets the same."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")), key).limit(n)
 
 
 def sample_windows(series: DataFrame, n: int, length: int, seed: int) -> DataFrame:
@@ -81,7 +81,8 @@ def sample_flagged(windows: DataFrame, n: int, seed: int) -> DataFrame:
     spark = windows.sparkSession
     if not total:
         return windows.limit(0)
-    draws = spark.range(n).select(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(total)).alias("__rank")).distinct()
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("id")).cast("binary")), 1, 8), 16, 10).cast("long")
+    draws = spark.range(n).select(F.pmod(drawn, F.lit(total)).alias("__rank")).distinct()
     from pulsegrid.operators.order import with_index
 
     ranked = with_index(windows, "start_idx").withColumnRenamed("idx", "__rank")

@@ -12,6 +12,7 @@ from pulsegrid.functions import features as phys
 from pulsegrid.functions.binning import DimensionSpec, clip, event_code
 from pulsegrid.functions.rules import WindowRule
 from pulsegrid.operators import fits, patterns, points, windows
+from pulsegrid.operators.order import with_index
 from pulsegrid.sources.events import event_series
 
 DIMS = ("d0", "d1", "d2")
@@ -54,6 +55,15 @@ def _listing(rule: WindowRule) -> Query:
 QUERIES |= {name: _listing(rule) for name, rule in RULES.items()}
 
 
+def _idle(rule: WindowRule) -> Query:
+    """The rule where brake power is below zero about as often as above."""
+    return lambda spark, sf_dir: windows.listing(event_series(spark, sf_dir).withColumn("brake_power", F.col("k") - 50), rule)
+
+
+QUERIES["windows_brake_specific_idle"] = _idle(WindowRule("specific_nox_increase", 3, percent=50, guard=30000))
+QUERIES["windows_co2_specific_idle"] = _idle(WindowRule("specific_co2_increase", 3, standard=300000, percent=50))
+
+
 # --- discretisation
 
 
@@ -214,6 +224,27 @@ def pattern_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.occurrence_log(series, MINING, patterns.top_k(patterns.mine(series, MINING), 20))
 
 
+@query
+def pattern_log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of the top twenty patterns, its blocks numbered by rank, cut by cross-K and share of its lines."""
+    log = pattern_occurrences(spark, sf_dir)
+    names = patterns.names_of(log)
+    ranked = log.groupBy("k_value", *names).agg(F.count("*").alias("n")).withColumn("__k", -F.col("k_value"))
+    blocks = with_index(ranked, "__k", *[F.col(c).asc_nulls_first() for c in names])  # twenty rows
+    blocks = blocks.select(F.col("idx").alias("block"), *[F.col(c).alias(f"__{c}") for c in names])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names]
+    numbered = log.join(F.broadcast(blocks), same).select("block", "start_idx", "k_value")
+    return patterns.filter_log(numbered, 1.4, 0.05)
+
+
+@query
+def pattern_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = event_series(spark, sf_dir)
+    flagged = F.sum(F.col("is_anom").cast("long"))
+    n, w = windows.flag(series, BAD).agg(F.count("*"), flagged).first()
+    return patterns.report(patterns.mine(series, MINING), n, w or 0).select("report", "cnt")
+
+
 @query
 def pattern_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.expand(windows.listing(event_series(spark, sf_dir), BAD), 5)
@@ -327,7 +358,7 @@ def features_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prediction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fits.scores(event_series(spark, sf_dir), "sensor", "model", ["d2"])
-    return found.select("d2", "n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "mae")])
+    return found.select("d2", "n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "mae", "p_value")])
 
 
 @query
@@ -371,6 +402,14 @@ def powerlaw_fit_oxygen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.fit_power_law(_fit_rows(spark, sf_dir), "y_wide", ["flame", "time", "x_o2"])
 
 
+@query
+def powerlaw_fit_by_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fit where the law lies at or above the noisy value, one where it lies below."""
+    rows = _fit_rows(spark, sf_dir)
+    law = phys.power_law((25e5, -1.5, 0.5), F.col("flame"), F.col("time"))
+    return fits.fit_power_law(rows.withColumn("side", points.divergence(law, F.col("y"))), "y", ["flame", "time"], ["side"])
+
+
 @query
 def powerlaw_fit_per_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.fit_power_law(_fit_rows(spark, sf_dir), "y", ["flame", "time"], ["d2"])

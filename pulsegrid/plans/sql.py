@@ -45,7 +45,9 @@ CONDITIONS = {
     "windows_brake_specific": "hi <= 30000 AND sk > 0 AND 3600 * s / sk > 300000",
     "windows_brake_specific_increase": f"hi <= 30000 AND sk > 0 AND 3600 * s / sk > 300000 AND {RISES}",
     "windows_co2_specific": "sk > 0 AND 3600 * s / sk > 300000",
-    "windows_co2_specific_increase": f"{RISES}",
+    "windows_co2_specific_increase": f"sk > 0 AND {RISES}",
+    "windows_brake_specific_idle": f"hi <= 30000 AND sk - 150 > 0 AND {RISES}",
+    "windows_co2_specific_idle": f"sk - 150 > 0 AND 3600 * s / (sk - 150) > 300000 AND {RISES}",
     "windows_model_error_all": "s > 0 AND abs(100 * ((sk * 100) / 3 - s / 3) / (s / 3)) > 50",
     "windows_model_error_under": "s > 0 AND 100 * ((sk * 100) / 3 - s / 3) / (s / 3) < -50",
     "windows_model_error_over": "s > 0 AND 100 * ((sk * 100) / 3 - s / 3) / (s / 3) > 50",
@@ -139,6 +141,15 @@ _INDEX = "(nox_gps / (fuel / 3600.0::DOUBLE))"
 _NOX = f"({_INDEX} / 38.0::DOUBLE * fuel)"
 _PRODUCTS = f"(({_N2} + {_O2} + {_num(phys.CO2_MOLES + phys.WATER_MOLES)}) * fuel / {_num(phys.FUEL_MOLE)})"
 
+#: Two-sided p of the correlation under Student's t: with t = sqrt(v) tan(x) its density is a power of a cosine.
+_R2 = "least(1, corr(err, k * 100) * corr(err, k * 100))"
+_V = "(count(*) - 2)::DOUBLE"
+_FROM = f"atan(sqrt({_R2} / greatest(1 - {_R2}, 1e-300)))"
+_STEP = f"((pi() / 2 - {_FROM}) / 20000)"
+_P_VALUE = f"""CASE WHEN count(*) <= 2 THEN 'nan'::DOUBLE WHEN {_R2} >= 1 THEN 0 ELSE least(1, 2 * {_STEP} * list_sum(list_transform(range(20001),
+  lambda i: exp(({_V} - 1) * ln(greatest(cos({_FROM} + i * {_STEP}), 1e-300)) + lgamma(({_V} + 1) / 2) - lgamma({_V} / 2) - ln(pi()) / 2)
+    * CASE WHEN i IN (0, 20000) THEN 0.5 ELSE 1 END))) END"""
+
 ORACLES: dict[str, str] = {name: _listing(c) for name, c in CONDITIONS.items()}
 ORACLES |= {
     "discretize_width": f"WITH {SERIES} SELECT idx, CAST(trunc(({VALUE} - -10) / 7.5::DOUBLE) AS INTEGER) AS code FROM r",
@@ -205,7 +216,28 @@ FROM r GROUP BY 1""",
     "features_flame": f"WITH {ENGINE} SELECT idx, round({_FLAME}, 5) AS t_flame, round({_INDEX}, 6) AS ei_nox FROM m",
     "features_ppm": f"WITH {ENGINE} SELECT idx, round({_NOX} / ({_PRODUCTS} + {_NOX}) * 1e6::DOUBLE, 5) AS ppm FROM m",
     "prediction_scores": f"""WITH {SERIES} SELECT d2, count(*) AS n, round(corr(err, k * 100) * corr(err, k * 100), 6) AS r2,
-  round(sqrt(avg(CAST((err - k * 100) * (err - k * 100) AS DOUBLE))), 6) AS rmse, round(avg(CAST(abs(err - k * 100) AS DOUBLE)), 6) AS mae FROM r GROUP BY d2""",
+  round(sqrt(avg(CAST((err - k * 100) * (err - k * 100) AS DOUBLE))), 6) AS rmse, round(avg(CAST(abs(err - k * 100) AS DOUBLE)), 6) AS mae, round({_P_VALUE}, 6) AS p_value FROM r GROUP BY d2""",
+    "pattern_log_filter": f"""WITH {_log(20)}, b AS (
+  SELECT k_value, p_d0, p_d1, p_d2, count(*) AS n_starts FROM log GROUP BY ALL
+), c2 AS (
+  SELECT row_number() OVER (ORDER BY k_value DESC, p_d0 NULLS FIRST, p_d1 NULLS FIRST, p_d2 NULLS FIRST) - 1 AS block, k_value, n_starts,
+    sum(n_starts) OVER () + count(*) OVER () AS lines FROM b
+) SELECT block, k_value, n_starts FROM c2 WHERE k_value >= 1.4 AND n_starts >= 0.05::DOUBLE * lines""",
+    "pattern_reports": f"""WITH {mined()} SELECT concat_ws(chr(10), 'd0:' || chr(9) || p_d0, 'd1:' || chr(9) || p_d1, 'd2:' || chr(9) || p_d2,
+  printf('count %d, support %.6f', cnt, round(support, 6)), printf('windows %d, support %.6f', a, round(CAST(a AS DOUBLE) / n, 6)),
+  printf('joint %d (%d distinct), support %.6f', join_cnt, distinct_join, round(CAST(join_cnt AS DOUBLE) / n, 6)),
+  printf('cross-K %.6f, confidence %.6f', round(k_value, 6), round(confidence, 6))) AS report, cnt FROM c, n WHERE k_value > 1""",
+    "sample_windows": f"""WITH {SERIES}, s AS (SELECT idx, (SELECT count(*) FROM r) AS n FROM r),
+a AS (SELECT idx, 5 AS l FROM s WHERE idx + 5 <= n ORDER BY md5('1:' || idx), idx LIMIT 10),
+b AS (SELECT idx, 15 AS l FROM s WHERE idx + 15 <= n ORDER BY md5('2:' || idx), idx LIMIT 10)
+SELECT idx AS start_idx, idx + l - 1 AS end_idx, l AS length FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
+    "sample_flagged_windows": f"""WITH {flagged(BAD)}, l AS (
+  SELECT idx AS start_idx, idx + 2 AS end_idx, iteration AS start_iteration, it_e AS end_iteration,
+    '<' || iteration || ',' || it_e || '>' AS label, row_number() OVER (ORDER BY idx) - 1 AS k FROM w WHERE bad
+) SELECT start_idx, end_idx, start_iteration, end_iteration, label FROM l
+WHERE k IN (SELECT ('0x' || substr(md5('3:' || i), 1, 8))::BIGINT % (SELECT count(*) FROM l) FROM range(10) t(i))""",
+    "sample_other_rows": f"""WITH {POINTS}, o AS (SELECT idx FROM r WHERE idx NOT IN (SELECT idx FROM p))
+SELECT idx FROM o ORDER BY md5('4:' || idx), idx LIMIT 30000""",
     "pattern_min_merge": f"""WITH {POINTS} SELECT r.idx, CASE WHEN p.idx IS NULL THEN k * 100 ELSE least(k * 100, err) END AS predicted
 FROM r LEFT JOIN p USING (idx)""",
     "predictions_recombined": f"WITH {SERIES} SELECT idx, least(k * 100, err) AS predicted FROM r",

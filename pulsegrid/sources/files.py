@@ -34,8 +34,16 @@ ALIASES = {
     "relativeerror": "rel_error", "noxtheoryppm": "theory", "abserror": "abs_error", "absoluteerror": "abs_error", "scroutppm": "nox_ppm",
     "scroutgps": "nox_rate", "bkpwr": "brake_power", "co2gps": "co2_rate", "scrinppm": "sensor", "noxbymodel": "model",
 }
-#: Dimensions whose negatives count as 0 before binning.
-CLIPPED_DIMENSIONS = frozenset({"noxtheoryppm", "scroutppm", "scroutgps", "bkpwr", "scrinppm", "scringps"})
+#: Dimensions whose negatives count as 0 before binning, for each layout.
+_RATES = frozenset({"scroutgps", "bkpwr", "scrinppm", "scringps"})
+CLIPPED_DIMENSIONS: dict[str, frozenset[str]] = {
+    "error": _RATES | {"noxtheoryppm"},
+    "specific": _RATES | {"scroutppm"},
+    "co2": _RATES | {"scroutppm"},
+    "model": _RATES | {"scroutppm"},
+}
+#: Splits of files whose offsets are broadcast at most.
+BROADCAST_SPLITS = 100_000
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
@@ -49,7 +57,7 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
 def read_readings(spark: SparkSession, data: str, header: str | Sequence[str]) -> DataFrame:
     """A headerless file of readings, in file order: ``idx`` and the named columns.
 
-    The order of a text file is that of its partitions and of the lines inside each.  A field that is no
+    Several files follow one another by name.  A field that is no
     number is an error, as is a line that is too short.
     """
     names = read_header(spark, header) if isinstance(header, str) else [h.lower() for h in header]
@@ -57,23 +65,28 @@ def read_readings(spark: SparkSession, data: str, header: str | Sequence[str]) -
     return in_file_order(spark.read.schema(schema).option("mode", "FAILFAST").csv(data))
 
 
-def in_file_order(df: DataFrame) -> DataFrame:
-    """``idx`` by file position: partition, then row.  Offsets of partitions are summed from their counts."""
-    rows = df.withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
-    counts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
-    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__ahead"))
-    rows = rows.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # a row for each file partition
-    within = F.col("__at") - F.shiftleft(F.col("__part"), 33)
-    return rows.withColumn("idx", within + F.col("__ahead")).drop("__at", "__part", "__ahead")
+def in_file_order(read: DataFrame) -> DataFrame:
+    """What was read, and ``idx`` by position: file name, place of the split in the file, row in the split.
+
+    Spark deals the splits of a read by size, so the order of partitions is not that of the files.  Rows of a
+    split lie together in one task; the counts of the splits are summed in file order, a row for each split.
+    """
+    rows = read.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    rows = rows.withColumn("__at", F.monotonically_increasing_id())
+    splits = rows.groupBy("__file", "__block").agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    ahead = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("__file", "__block", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("__first")).alias("__offset"))
+    if len(read.inputFiles()) <= BROADCAST_SPLITS:  # large files have more splits, but not without end
+        offsets = F.broadcast(offsets)
+    rows = rows.join(offsets, ["__file", "__block"])
+    return rows.withColumn("idx", F.col("__at") + F.col("__offset")).drop("__file", "__block", "__at", "__offset")
 
 
 def read_regulation(spark: SparkSession, data: str) -> DataFrame:
     """The regulation columns of a wide headerless file, by ordinal."""
     raw = spark.read.csv(data)
     cols = [F.col(f"_c{k}").cast(_WHOLE.get(n, DoubleType())).alias(n) for k, n in REGULATION.items()]
-    return in_file_order(raw.select(*cols))
+    return in_file_order(raw).select("idx", *cols)
 
 
 def base_columns(readings: DataFrame, layout: str) -> DataFrame:
@@ -98,7 +111,7 @@ def discretise(readings: DataFrame, layout: str, specs: Sequence[DimensionSpec],
         cols.append((clip(value) if c in CLIPPED[layout] else value).alias(c))
     for s in specs:
         value = F.col(lower[s.name.lower()])
-        value = clip(value) if s.name.lower() in CLIPPED_DIMENSIONS else value
+        value = clip(value) if s.name.lower() in CLIPPED_DIMENSIONS[layout] else value
         cols.append(event_code(s, value, strict).alias(s.name.lower()))
     return readings.select("idx", *cols)
 
@@ -169,7 +182,7 @@ def read_occurrence_log(spark: SparkSession, path: str) -> DataFrame:
 
     A line with a fraction ends a block.  Blocks are numbered through sums over ranges of lines.
     """
-    lines = in_file_order(spark.read.text(path).where("trim(value) <> ''").select(F.col("value").cast("double").alias("v")))
+    lines = in_file_order(spark.read.text(path).where("trim(value) <> ''")).select("idx", F.col("value").cast("double").alias("v"))
     rows = lines.withColumn("ends", (F.floor("v") != F.col("v")).cast("long")).withColumn("part", F.floor(F.col("idx") / 100_000))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("part").agg(F.sum("ends").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
@@ -182,4 +195,4 @@ def read_occurrence_log(spark: SparkSession, path: str) -> DataFrame:
 def read_obd(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Named columns of a file with a header, as doubles, in file order."""
     raw = spark.read.csv(path, header=True)
-    return in_file_order(raw.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    return in_file_order(raw).select("idx", *[F.col(c).cast("double").alias(c) for c in columns])

@@ -43,3 +43,11 @@ def test_specs_are_read_and_written():
         DimensionSpec("x")
     with pytest.raises(ValueError):
         DimensionSpec("x", intervals=((0, 2), (1, 3)))
+
+
+def test_specs_are_read_back_as_written():
+    for pairs in (((-3.0, -1.0), (-1.0, 2.5)), ((0.0, 1e-05), (1e-05, 1e300)), ((-1e-07, -1e-09),), ((-float("inf"), 0.0),)):
+        spec = DimensionSpec("x", -3.5, 1e9, -1.0, pairs)
+        assert parse_spec(render_spec(spec, 11)) == spec
+    assert parse_spec("x,0,1,0.5,7").intervals == ()
+    assert parse_spec("x,0,1,-1,-2--1#-1-3").intervals == ((-2.0, -1.0), (-1.0, 3.0))

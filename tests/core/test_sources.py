@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from pulsegrid.functions.binning import DimensionSpec
 from pulsegrid.sources import files
 
@@ -67,3 +70,57 @@ def test_window_files(spark, tmp_path):
     files.write_labels(windows, str(tmp_path / "labels"))
     assert [r.value for r in spark.read.text(str(tmp_path / "starts")).collect()] == ["1", "4"]
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "labels")).collect()) == ["<10,11>", "<7,8>"]
+
+
+@pytest.mark.parametrize("split", ["128m", "3k"])
+def test_many_files_keep_their_order(spark, tmp_path, split):
+    """Files of unequal sizes, and splits inside files; the largest does not come first."""
+    spec = [DimensionSpec("x", 0.0, 10.0, 1.0)]
+    rows = [(k, k, 2020, 1, 1, 0.0, 0.0, 1.0, 2.0, 3.0, 4, k % 10) for k in range(4000)]
+    names = ["idx", *files.LAYOUTS["error"], "x"]
+    series = spark.createDataFrame(rows, ", ".join(f"{n} {'double' if n in ('latitude', 'longitude', 'rel_error', 'theory', 'abs_error') else 'int'}" for n in names))
+    files.write_discretised(series, str(tmp_path / "out"), "error", spec)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        back, specs = files.read_discretised(spark, str(tmp_path / "out"), "error")
+        got = back.collect()
+        (tmp_path / "raw").mkdir()
+        at = 0
+        for k, n in enumerate((3, 500, 40, 2000, 1)):
+            (tmp_path / "raw" / f"{k}.csv").write_text("\n".join(f"{i},{2 * i}" for i in range(at, at + n)) + "\n")
+            at += n
+        readings = files.read_readings(spark, str(tmp_path / "raw"), ["iteration", "b"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert specs == spec and len(got) == 4000 and all(r.idx == r.iteration and r.x == r.idx % 10 for r in got)
+    assert len(readings) == at and all(r.idx == r.iteration and r.b == 2 * r.idx for r in readings)
+
+
+@pytest.mark.parametrize("layout", list(files.LAYOUTS))
+def test_every_layout_round_trips(spark, tmp_path, layout):
+    base = files.LAYOUTS[layout]
+    whole = {"iteration", "year", "month", "day", "pass"}
+    raw = {v: k for k, v in files.ALIASES.items()}
+    rows = [tuple([k if c in whole else k - 2.5 for c in base] + [k - 2.0, k - 2.0]) for k in range(6)]
+    schema = ", ".join(f"{raw.get(c, c)} {'int' if c in whole else 'double'}" for c in base) + ", NOxTheoryDim double, other double"
+    readings = spark.createDataFrame(rows, schema).withColumn("idx", F.col("iteration").cast("long"))
+    specs = [DimensionSpec("other", -5.0, 5.0, -1.0, ((-3.0, -1.0), (-1.0, 1e-05), (1e-05, 4.0)))]
+    got = files.discretise(readings, layout, specs)
+    files.write_discretised(got, str(tmp_path / "out"), layout, specs)
+    back, read = files.read_discretised(spark, str(tmp_path / "out"), layout)
+    assert read == specs and sorted(map(tuple, back.collect())) == sorted(map(tuple, got.select(back.columns).collect()))
+    clipped = files.CLIPPED[layout]
+    for r in got.collect():
+        assert all((r[c] >= 0) if c in clipped else r[c] == r.idx - 2.5 for c in base if c not in whole)
+
+
+def test_clip_lists_differ_by_layout(spark):
+    def code(layout, name):
+        base = {c: F.lit(1) for c in files.LAYOUTS[layout]}
+        df = spark.range(1).withColumnRenamed("id", "idx").withColumns(base | {name: F.lit(-7.0)})
+        return files.discretise(df, layout, [DimensionSpec(name, -10.0, 10.0, 1.0)]).first()[name]
+
+    assert code("error", "noxtheoryppm") == 10 and code("co2", "noxtheoryppm") == 3
+    assert code("error", "scroutppm") == 3 and code("co2", "scroutppm") == 10 and code("model", "scroutppm") == 10
+    assert code("model", "scringps") == 10 and code("error", "speed") == 3
