@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 #: Rows of a chunk, without its halo: small enough to spread a short series over the tasks there are.
 CHUNK_ROWS = 20_000
 #: Rows of a key range while the dense order is assigned, about; and ranges at most.
-RANGE_ROWS = 25_000
+RANGE_ROWS = 12_500
 MAX_RANGES = 10_000
+#: Ranges that are asked for together with the count of the rows.
+FIRST_RANGES = 64
 
 
 def cuts_below(value: Column, cuts: Sequence[int | float]) -> Column:
@@ -39,23 +41,33 @@ def cuts_below(value: Column, cuts: Sequence[int | float]) -> Column:
 def with_index(df: DataFrame, key: str, *ties: str | Column, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with ``idx``: 0, 1, 2 ... by ``key`` (numeric), then ``ties``.
 
-    Rows are numbered inside ranges of the key between approximate quantiles; the driver only sees the cuts,
-    and the ranges' counts are summed above them.  A null key comes first.
+    Rows are numbered inside ranges of the key between approximate quantiles, on top of the rows in the ranges below;
+    the driver sees a cut and a count for each range.  A null key comes first.
     """
-    n = df.count()
-    parts = min(MAX_RANGES, max(1, n // range_rows))
+
+    def quantiles(parts: int) -> Column:
+        return F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts)
+
+    seen = df.agg(F.count("*").alias("n"), quantiles(FIRST_RANGES).alias("q")).first()
+    parts = min(MAX_RANGES, max(1, seen["n"] // range_rows))
     cuts: list = []
-    if parts > 1:
-        quantiles = F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts)
-        cuts = sorted(set(df.select(quantiles.alias("q")).first()["q"]))
+    if parts > FIRST_RANGES:
+        cuts = sorted(set(df.select(quantiles(parts).alias("q")).first()["q"]))
+    elif parts > 1:
+        step = FIRST_RANGES // parts
+        cuts = sorted(set((seen["q"] or [])[step - 1 :: step]))
     rows = df.withColumn("__range", cuts_below(F.col(key), cuts))
-    counts = rows.groupBy("__range").agg(F.count("*").alias("n"))  # a row for each range
-    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__ahead"))
+    ahead, offsets = 0, []
+    if cuts:
+        counts = {r["__range"]: r["n"] for r in rows.groupBy("__range").agg(F.count("*").alias("n")).collect()}
+        for k in range(len(cuts) + 1):
+            offsets.append(ahead)
+            ahead += counts.get(k, 0)
     within = Window.partitionBy("__range").orderBy(F.col(key).asc_nulls_first(), *ties)
-    numbered = rows.join(F.broadcast(offsets), "__range")  # at most MAX_RANGES rows
-    idx = (F.row_number().over(within) - 1 + F.col("__ahead")).cast("long")
-    return numbered.withColumn("idx", idx).drop("__range", "__ahead")
+    idx = F.row_number().over(within).cast("long") - 1
+    if cuts:
+        idx = idx + F.get(F.array(*[F.lit(n) for n in offsets]), F.col("__range")).cast("long")
+    return rows.withColumn("idx", idx).drop("__range")
 
 
 def in_chunks(
