@@ -37,7 +37,6 @@ THRESHOLD = 0.7
 _NEUTRAL = 0.5
 
 _MARKS = ("#*$%&<>|~^={}\\", "!", "?", ".,;:", "0123456789", "()[]\"'", "@/_", "\n")
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORD_MARKS = "#*$%&|!"
 
 NAMES = (
@@ -147,13 +146,14 @@ def features_of(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """``docs``: doc_id, text.  ``labels``: doc_id, quality; one label of each document is used."""
+    """``docs``: doc_id, text.  ``labels``: doc_id, quality; of repeated ids the least label and the least text are used.
+
+    At most ``sample`` documents, those least by a hash of their ids, come to the driver as 24 figures each.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    n = known.count()
-    # A little more than asked for by hash, so that the bound holds whatever the hash gives.
-    share = min(1.0, 1.1 * sample / max(1, n))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most ``sample`` ids
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")  # at most ``sample`` ids
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = texts.select("doc_id", "label", features_of(F.col("text")).alias("x")).toPandas().sort_values("doc_id")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(NAMES))
     return fit_pairs(x, rows["label"].to_numpy(int))

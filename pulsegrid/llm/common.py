@@ -28,13 +28,15 @@ def lower_ascii(c: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a new temporary folder is made and set.
+    It is the one the cluster names in ``spark.checkpoint.dir``.  Where that is unset, a session on one machine
+    makes and sets a temporary folder; on a cluster it is an error, since executors would not see the driver's.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")

@@ -56,6 +56,12 @@ def test_the_sample_is_bounded(spark, docs, small):
     assert bt.fit(docs, labels, sample=20).weights.shape == bt.fit(docs, labels).weights.shape
 
 
+def test_repeated_ids_count_once(spark, docs, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    one, twice = bt.fit(docs, labels, sample=25), bt.fit(docs.union(docs).union(docs), labels.union(labels).repartition(5), sample=25)
+    assert np.array_equal(one.weights, twice.weights) and one.cut == twice.cut
+
+
 def test_ranking_recovers_the_cut():
     rng = np.random.default_rng(1)
     rows = rng.normal(size=(400, len(bt.NAMES)))
