@@ -1,19 +1,21 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
 A turn is written ``<|turn|>role<|text|>text<|end|>``.  Control strings inside roles and texts are
-escaped reversibly.  Prefix sums of turn tokens cut a conversation into turn-aligned windows: turns
-whose tokens lie in the same stride of the prefix sum share a window, and a turn that crosses a stride
-has a window of its own.  Each window starts with the system turn (the conversation's first turn if its
-role is ``system``), repeats as many of the preceding turns as the history budget holds, then has its
-own turns.  The loss mask covers the texts of own assistant turns; repeated turns are masked.
+escaped reversibly.  Prefix sums of turn tokens cut a conversation into turn-aligned windows: the turns
+that begin in the same stride of the prefix sum share a window.  The last of them, which may cross into the
+next stride, stays with them if budget and system turn leave room, and has a window of its own if not.
+Each window starts with the system turn (the conversation's first turn if its role is ``system``), repeats
+as many of the preceding turns as the history budget and the room left hold, then has its own turns.  The
+loss mask covers the texts of own assistant turns; repeated turns are masked.
 
 Prefix sums are taken inside blocks of turn numbers and the blocks' totals are summed above them, so a
 very long conversation is spread over tasks.  A window holds at most ``budget`` tokens, unless one
-turn alone (with the system turn) has more: turns are never cut.
+turn alone (with the system turn) has more: turns are never cut.  The numbered turns are written to the shared
+folder once, and each step reads the columns it needs of them.
 
 Turns are ordered by turn (null first), then role, then text; repeated rows are turns of their own.
-Null role or text counts as empty; rows of null conv_id form one conversation.  An empty table gives
-no window.  Extra columns play no part.
+Null role or text counts as empty; rows of null conv_id form one conversation.  Ids may be of any type.  An
+empty table gives no window.  Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.common import materialise
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What common chat templates use as control strings; an escape goes after their first character.
 CONTROL = r"(<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\]))"
@@ -45,7 +49,7 @@ def _numbered(conversations: DataFrame, tokens: Column | None) -> DataFrame:
     """Turns with their position in the conversation and the prefix sums of tokens before and after them."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = conversations.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"),
+        F.coalesce(F.concat(F.lit("s"), F.col("conv_id").cast("string")), F.lit("")).alias("conv"),
         F.col("turn").cast("long").alias("turn"),
         role.alias("role"),
         text.alias("text"),
@@ -59,20 +63,24 @@ def _numbered(conversations: DataFrame, tokens: Column | None) -> DataFrame:
         F.coalesce(F.floor(F.col("turn") / F.lit(BLOCK_TURNS)), F.lit(-(2**62))).alias("block"),
         F.greatest(F.coalesce("given", counted), F.lit(1)).cast("long").alias("tokens"),
     )
+    # The first turn of all is a system turn if the least (turn, role) is one; its text only settles ties.
+    system = F.when(F.col("role") == "system", F.struct("turn", "text", "tokens"))
     blocks = rows.groupBy("conv", "block").agg(
-        F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.min(F.struct("turn", "role", "text", "tokens")).alias("first")
+        F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.min(F.struct("turn", "role")).alias("first"), F.min(system).alias("system")
     )
     all_of = Window.partitionBy("conv").orderBy("block")
     ahead = all_of.rowsBetween(Window.unboundedPreceding, -1)
+    upto = all_of.rowsBetween(Window.unboundedPreceding, 0)
     blocks = blocks.select(
         "conv", "block",
         F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("tokens_ahead"),
         F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n_ahead"),
-        F.first("first").over(all_of.rowsBetween(Window.unboundedPreceding, 0)).alias("first"),
+        F.first("first.role").over(upto).alias("role"),
+        F.first("system.tokens").over(upto).alias("system_tokens"),
     )
     blocks = blocks.select(
         "conv", "block", "tokens_ahead", "n_ahead",
-        F.when(F.col("first.role") == "system", F.col("first.tokens")).otherwise(0).alias("system_tokens"),
+        F.when(F.col("role") == "system", F.col("system_tokens")).otherwise(0).alias("system_tokens"),
     )
     order = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -99,10 +107,16 @@ def format_windows(
     """
     if not 0 <= history < budget:
         raise ValueError("history must be less than budget")
-    rows = _numbered(conversations, tokens)
-    stride = F.greatest(F.lit(budget - history) - F.col("system_tokens"), F.lit(1))
-    first, last = F.floor(F.col("before") / stride), F.floor((F.greatest("upto", F.lit(1)) - 1) / stride)
-    rows = rows.withColumn("window", (2 * first + F.when(F.col("system") | (first == last), 0).otherwise(1)).cast("long"))
+    rows = materialise(_numbered(conversations, tokens), "turns")
+    room = F.greatest(F.lit(budget) - F.col("system_tokens"), F.lit(1))
+    # A large system turn leaves less for history, which never takes more than a quarter of the room.
+    stride = F.greatest(room - F.least(F.lit(history), F.floor(room / 4)), F.lit(1))
+    group = F.floor(F.col("before") / stride)
+    rows = rows.withColumn("group", F.when(F.col("system"), 0).otherwise(group).cast("long"))
+    same = Window.partitionBy("conv", "group")  # at most a stride of tokens and one turn
+    begin = F.min(F.when(~F.col("system"), F.col("before"))).over(same)
+    apart = ~F.col("system") & (F.col("before") > begin) & (F.col("upto") - begin > room)
+    rows = rows.withColumn("window", 2 * F.col("group") + F.when(apart, 1).otherwise(0)).withColumn("room", room)
 
     piece = F.struct(
         F.col("part"), F.col("pos"), F.col("repeated"), (~F.col("repeated") & (F.col("role") == "assistant")).alias("target"),
@@ -110,14 +124,17 @@ def format_windows(
     )
     own = rows.withColumn("part", F.when(F.col("system"), 0).otherwise(2)).withColumn("repeated", F.lit(False))
     named = ["conv", "window", "part", "pos", "repeated", "role", "head", "body", "tokens"]
-    starts = rows.groupBy("conv", "window").agg(F.min("before").alias("start"))
+    taken = F.sum(F.when(~F.col("system"), F.col("tokens")).otherwise(0))
+    starts = rows.groupBy("conv", "window", "room").agg(F.min("before").alias("start"), taken.alias("taken"))
+    starts = starts.withColumn("left", F.least(F.lit(history), F.col("room") - F.col("taken")))
     # The turns that a window repeats end in its own or the preceding stretch of ``history`` tokens.
     span = max(history, 1)
     stretch = F.floor((F.col("start") - 1) / F.lit(span))
-    asked = starts.where("start > 0").select("conv", F.col("window").alias("to"), "start", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    asked = starts.where("start > 0 AND left > 0")
+    asked = asked.select("conv", F.col("window").alias("to"), "start", "left", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
     turns = rows.where(~F.col("system")).withColumn("stretch", F.floor((F.col("upto") - 1) / F.lit(span)))
     past = turns.join(asked, ["conv", "stretch"]).where(
-        (F.col("upto") <= F.col("start")) & (F.col("before") >= F.col("start") - history)
+        (F.col("upto") <= F.col("start")) & (F.col("before") >= F.col("start") - F.col("left"))
     )
     past = past.withColumn("window", F.col("to")).withColumn("part", F.lit(1)).withColumn("repeated", F.lit(True))
     system = rows.where("system").drop("window")
@@ -147,7 +164,7 @@ def format_windows(
         lambda acc: acc["spans"],
     )
     return windows.select(
-        F.expr("nullif(conv, '')").cast("long").alias("conv_id"),
+        F.when(F.col("conv") != "", F.expr("substring(conv, 2)")).cast(conversations.schema["conv_id"].dataType).alias("conv_id"),
         "window",
         F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
         F.transform("pieces", lambda p: p["repeated"]).alias("repeated"),

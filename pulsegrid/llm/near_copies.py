@@ -69,9 +69,12 @@ def sketches(text: Column) -> Column:
     def of(texts: pd.Series) -> pd.DataFrame:
         import xxhash
 
-        words = [words_of(t) for t in texts]
-        keys = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in words], np.uint64).view(np.int64)
-        return pd.DataFrame({"key": keys, "bands": [band_keys(shingles(w)).view(np.int64) for w in words]})
+        keys, bands = [], []
+        for text in texts:  # one at a time: the words of a whole batch would take ten times its text
+            words = words_of(text)
+            keys.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+            bands.append(band_keys(shingles(words)).view(np.int64))
+        return pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "bands": bands})
 
     return of(text.cast("string"))
 

@@ -2,6 +2,7 @@ import hashlib
 from itertools import groupby
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import chat_format as c
 from pulsegrid.llm import registry
@@ -49,7 +50,9 @@ def test_odd_and_long_conversations(spark, budget, history):
         parts = w.formatted.split(c.END)[:-1]
         assert len(parts) == len(w.repeated)
         own = w.repeated.count(False)
-        assert w.n_tokens <= budget or own <= 1, "only a single long turn may exceed the budget"
+        own -= w.window == 0 and w.formatted.startswith(c.TURN + "system" + c.TEXT)
+        least = sum(-(-len((p + c.END).encode()) // 4) for k, p in enumerate(parts) if not w.repeated[k] or p.startswith(c.TURN + "system"))
+        assert w.n_tokens <= budget or (own <= 1 and w.n_tokens <= least), "only a single long turn and the system turn may exceed the budget"
         for s in w.loss:
             assert not any(m in w.formatted[s.start : s.end] for m in (c.TURN, c.END, "</s>", "[INST]", "[/INST]"))
         if w.conv_id == 9:
@@ -71,6 +74,22 @@ def test_history_is_repeated_and_masked(spark):
         assert targets == {p.split(c.TEXT)[1] for p in own_assistant}
 
 
+@pytest.mark.parametrize(("system", "turn", "n", "fill"), [(932, 57, 11, 0.85), (20, 480, 30, 0.85), (0, 300, 50, 0.8), (0, 40, 400, 0.9), (100, 700, 9, 0.75)])
+def test_windows_use_the_budget_and_keep_it(spark, system, turn, n, fill):
+    rows = [(1, k, ("user", "assistant")[k % 2], "x", turn) for k in range(n)] + ([(1, -1, "system", "s", system)] if system else [])
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, given long")
+    windows = c.format_windows(df, 1024, 128, F.col("given")).orderBy("window").collect()
+    assert all(w.n_tokens <= 1024 for w in windows)
+    assert sum(w.repeated.count(False) for w in windows) == len(rows)
+    assert sum(w.n_tokens for w in windows[:-1]) >= fill * 1024 * (len(windows) - 1)
+
+
+def test_ids_of_any_type(spark):
+    rows = [("a", 0, "user", "x"), ("", 0, "user", "y"), (None, 0, "user", "z"), ("a", 1, "assistant", "w")]
+    got = c.digests(c.format_windows(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"))).collect()
+    assert sorted(((r.conv_id, r.n_turns) for r in got), key=repr) == sorted([("a", 2), ("", 1), (None, 1)], key=repr)
+
+
 def test_empty_and_plan(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     windows = c.format_windows(df)
