@@ -63,8 +63,10 @@ MIN_TEXTS = 2
 DISCOUNT = 0.75
 DISCLOSURE = 0.9
 REMOVE = 0.999
-#: Entities or candidate terms that are broadcast at most, after a count; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes (written as JSON) of tables of entities, terms and treated documents that are broadcast at most,
+#: after both are counted; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 1 << 26
 #: Elements of one block of a running sum.
 BLOCK = 256
 #: Placeholders of the sanitised text.
@@ -206,7 +208,8 @@ def _terms(text: Column) -> Column:
 
 def _few(table: DataFrame) -> DataFrame:
     """A written table, to be broadcast if it is known to be small; Spark splits the hot keys of other joins."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    size = table.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(table) if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else table
 
 
 def _key(id_col: str, text: Column) -> list[Column]:
@@ -325,7 +328,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     mentions = find_mentions(rows)
     text = text_or_empty()
     keyed = rows.select(*_key("doc_id", text), text.alias("text"))
-    held = keyed.join(term_forms(rows, mentions, **limits), ["k_id", "k_text"]).dropDuplicates(["k_id", "k_text"])
+    held = keyed.join(_few(term_forms(rows, mentions, **limits)), ["k_id", "k_text"]).dropDuplicates(["k_id", "k_text"])
     held = held.withColumn("base", base_mentions(F.col("text")))
     added = held.select("k_id", "k_text", added_spans(F.col("text"), F.col("forms"), F.col("base")).alias("added"))
     terms = F.transform("added", lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end")))
@@ -373,7 +376,7 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
     keys = ["k_id", "k_text"]
     treated = mentions.where(F.size("base") > 0).select(*keys, "base").dropDuplicates(keys)
     treated = treated.join(term_forms(docs, mentions, **limits), keys, "full")
-    treated = treated.withColumnsRenamed({c: f"__{c}" for c in (*keys, "base", "forms")})
+    treated = _few(materialise(treated.withColumnsRenamed({c: f"__{c}" for c in (*keys, "base", "forms")}), "treated"))
     text = text_or_empty()
     rows = docs.withColumns(dict(zip(("__k_id", "__k_text"), _key("doc_id", text)))).join(treated, ["__k_id", "__k_text"], "left")
     none = F.array().cast("array<struct<start:int,end:int,by:string>>")
