@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: A key is a hub when it has more than one in HUBS of all rows, so there are never more hubs than that.
+HUBS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,3 +52,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def join_on_key(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``values``: one row for each key and ``n``, how many of ``total`` rows have it.
+
+    Hubs, at most ``HUBS`` of them, are broadcast and their rows stay where they are; of any other key a task
+    gets at most one in ``HUBS`` of all rows.
+    """
+    hub = F.col("n") > F.lit(total / HUBS)
+    hubs, others = F.broadcast(values.where(hub).drop("n")), values.where(~hub).drop("n")
+    rest = rows.join(hubs.select(key), key, "left_anti").join(others, key)
+    return rows.join(hubs, key).unionByName(rest)

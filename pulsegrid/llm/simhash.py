@@ -9,9 +9,10 @@ in the same way until its parts are small, and then finds exact neighbours.
 
 A shard hands on a forest instead of pairs: each fingerprint with one representative it is linked to, so
 the output is linear in what the shard got.  Connected components of these links follow by alternating
-stars, each round written to the shared folder.
+stars, each round written to the shared folder.  The tree's sample grows with the distinct fingerprints, so
+shards stay alike up to ``MOST_SAMPLE / SHARD_SAMPLE`` of them; beyond that they grow in proportion.
 
-An empty text has fingerprint zero, linked like any other.  Null ids never name a component; a component
+A null text counts as empty; an empty text has fingerprint zero, linked like any other.  An empty table gives none.  Null ids never name a component; a component
 of null ids only has a null id.  Repeated rows keep one row each.  Extra columns play no part.
 """
 
@@ -26,19 +27,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import near_copies
-from pulsegrid.llm.common import materialise
+from pulsegrid.llm.common import join_on_key, materialise
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints differ at most.
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Fingerprints that the driver samples to build the tree, and distinct fingerprints of a shard, about.
-SAMPLE = 20_000
+#: Distinct fingerprints of a shard, about, and the sampled ones that tell how to cut it.
 SHARD = 5_000
+SHARD_SAMPLE = 16
+#: Least and most fingerprints that the driver samples to build the tree (8 bytes each).
+SAMPLE = 20_000
+MOST_SAMPLE = 2_000_000
 #: A part of a shard this small is searched directly.
 LEAF = 256
-#: Copies of the labels in the last join: a third of all rows may share one fingerprint.
-SALTS = 8
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes that are held at once while bits are counted.
@@ -161,11 +163,12 @@ def neighbours(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
 def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(a, b): a forest whose components are those of all pairs of ``fp`` at most ``radius`` bits apart."""
     n = distinct.count()
-    share = min(1.0, 1.2 * SAMPLE / max(1, n))
+    size = min(MOST_SAMPLE, max(SAMPLE, SHARD_SAMPLE * n // shard))
+    share = min(1.0, 1.2 * size / max(1, n))
     # xxhash64 of the value picks the sample, so it is the same whenever a part is computed again.
-    picked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(SAMPLE)
+    picked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(size)
     sample = picked.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    leaf = max(16, int(shard * max(1, len(sample)) / max(1, n)))
+    leaf = max(SHARD_SAMPLE, int(shard * max(1, len(sample)) / max(1, n)))
     nodes = build_tree(np.sort(sample), leaf, radius) if n > shard else []
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,25 +188,30 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component of ``edges`` (a, b), for every node but the roots.
 
     Large and small stars alternate until nothing changes: every node points to the least node it knows, and
-    its neighbours follow.  Neighbours are gathered as minima only, never as lists.
+    its neighbours follow.  Neighbours are gathered as minima only, never as lists, and those of a hub stay
+    spread over the tasks that they are in.
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
     edges = materialise(edges.where("a <> b").select(most.alias("a"), least.alias("b")).distinct(), "links")
-    before = None
-    while True:
+    tally = (F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    before = edges.agg(*tally).first()
+    while before["n"]:
+        total = 2 * before["n"]
         # Large star: of each node, the larger neighbours are tied to the least of all (or the node itself).
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count("*").alias("n"))
+        large = join_on_key(both.where("b > a"), low, "a", total).select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = materialise(large.where("a <> b"), "links")
         # Small star: the smaller neighbours, and the node, are tied to the least of them.
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        small = join_on_key(large, low, "a", total).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         edges = small.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
         edges = materialise(edges, "links")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == before or state["n"] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        state = edges.agg(*tally).first()
+        if state == before:
+            break
         before = state
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _marked(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -214,17 +222,15 @@ def _marked(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFr
 
 def _labelled(marked: DataFrame, radius: int, further: DataFrame | None = None) -> DataFrame:
     """``marked`` with component_id; ``further`` has links (a, b) of fingerprints besides those within ``radius``."""
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")), "distinct")
     linked = links(distinct, radius)
     roots = components(linked if further is None else linked.unionByName(further))
-    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = known.join(least, "root").select("fp", "component_id")
-    labels = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    return marked.withColumn("salt", salt).join(labels, ["fp", "salt"]).drop("salt")
+    known = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    known = materialise(known.select("fp", "least", "n_rows", F.coalesce("root", "fp").alias("root")), "roots")
+    totals = known.agg(F.count("*").alias("fps"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    labels = join_on_key(known, least, "root", totals["fps"]).select("fp", "component_id", F.col("n_rows").alias("n"))
+    return join_on_key(marked, materialise(labels, "labels"), "fp", totals["rows"])
 
 
 def simhash_components(
