@@ -54,13 +54,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_on_key(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+def join_on_key(rows: DataFrame, values: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
     """``rows`` with the columns of ``values``: one row for each key and ``n``, how many of ``total`` rows have it.
 
     Hubs, at most ``HUBS`` of them, are broadcast and their rows stay where they are; of any other key a task
     gets at most one in ``HUBS`` of all rows.
     """
-    hub = F.col("n") > F.lit(total / HUBS)
-    hubs, others = F.broadcast(values.where(hub).drop("n")), values.where(~hub).drop("n")
+    hub = F.col(n) > F.lit(total / HUBS)
+    hubs, others = F.broadcast(values.where(hub).drop(n)), values.where(~hub).drop(n)
     rest = rows.join(hubs.select(key), key, "left_anti").join(others, key)
     return rows.join(hubs, key).unionByName(rest)

@@ -4,9 +4,10 @@ Each source has a target of words.  Whole epochs come first; what remains of the
 order of exponential keys, ``-ln(u) / quality``, until their prefix sum of sizes comes nearest to it.
 
 No sort of a whole source is needed: sizes are summed by ranges of the key, the prefix sum over the
-ranges finds the one range in which the target is met, and only the rows of that range are sorted.  The
-result is a cut (range and key) for each source, against which every document is held, so a source with
-a third of all rows is spread over all tasks.  Tables of one row for each source go through one task.
+ranges finds the one range in which the target is met, which is cut again until it has few rows, and only
+the rows of that range are sorted.  The result is a cut (range and key) for each source, against which
+every document is held, so a source with a third of all rows is spread over all tasks.  Tables of one row
+for each source go through one task.
 
 A null text has size 0; null is a source of its own and comes last.  Keys hash id and text with a seed,
 so reruns agree; rows equal in both are taken or left together.  Extra columns play no part.
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import WORD, materialise
+from pulsegrid.llm.common import WORD, join_on_key, materialise
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS: Sequence[float] = (5.0, 2.0, 1.0)
@@ -27,8 +28,11 @@ WEIGHTS: Sequence[float] = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 17
-#: Ranges of the key.
-RANGES = 1024
+#: Ranges of the key at the finest, and how many bits of them each further search tells apart.
+RANGE_BITS = 40
+STEP_BITS = 10
+#: Rows that a range in which a target is met may have before it is cut further.
+SORT_ROWS = 1_000_000
 #: A table of sources up to this size is broadcast.
 BROADCAST_SOURCES = 100_000
 
@@ -56,7 +60,7 @@ def _keyed(docs: DataFrame, quality: Column | None, seed: int) -> DataFrame:
     u = (F.shiftrightunsigned(h, 11) + F.lit(0.5)) / F.lit(2.0**53)
     keyed = keyed.withColumn(_KEY, -F.log(u) / weight)
     key = F.col(_KEY)
-    return keyed.withColumn(_RANGE, F.floor(F.lit(RANGES) * (key / (key + 1))).cast("int")).withColumn(
+    return keyed.withColumn(_RANGE, F.floor(F.lit(2.0**RANGE_BITS) * (key / (key + 1))).cast("long")).withColumn(
         _SOURCE, F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t"))
     )  # so null sorts last
 
@@ -84,34 +88,70 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return rows.select(_SOURCE, "source_size", target.alias("target"))
 
 
+def _inside(slim: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The rows of ``slim`` in the range (from, to) of their source; the coarse range splits a hot source."""
+    coarse = RANGE_BITS - STEP_BITS
+    ranges = ranges.withColumn("coarse", F.shiftright("from", coarse))
+    rows = slim.withColumn("coarse", F.shiftright(_RANGE, coarse)).join(ranges, [_SOURCE, "coarse"]).drop("coarse")
+    return rows.where((F.col(_RANGE) >= F.col("from")) & (F.col(_RANGE) < F.col("to")))
+
+
+def _met(slim: DataFrame, within: DataFrame, bits: int) -> DataFrame:
+    """For each source of ``within`` (source, from, to, room): the range of ``bits`` bits in which ``room`` is met.
+
+    Returns source, from, to, room (what is left of it for the range) and n, the rows of the range.
+    """
+    shift = RANGE_BITS - bits
+    inside = _inside(slim, within.select(_SOURCE, "from", "to")) if "from" in within.columns else slim
+    sums = inside.groupBy(_SOURCE, F.shiftright(_RANGE, shift).alias("r")).agg(F.sum(_SIZE).alias("size"), F.count("*").alias("n"))
+    upto = F.sum("size").over(Window.partitionBy(_SOURCE).orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    met = sums.withColumn("upto", upto).join(within.select(_SOURCE, "room"), _SOURCE)
+    met = met.where((F.col("room") > 0) & (F.col("upto") - F.col("size") <= F.col("room")) & (F.col("room") < F.col("upto")))
+    at = F.col("r")
+    return met.select(
+        _SOURCE,
+        F.shiftleft(at, shift).alias("from"),
+        F.shiftleft(at + 1, shift).alias("to"),
+        (F.col("room") - F.col("upto") + F.col("size")).alias("room"),
+        "n",
+    )
+
+
 def cuts(slim: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MAX_EPOCHS) -> DataFrame:
-    """For each source: source_size, target, epochs, and the cut that ends the fractional epoch."""
-    ranges = slim.groupBy(_SOURCE, _RANGE).agg(F.sum(_SIZE).alias("size"))
-    sized = targets(ranges.groupBy(_SOURCE).agg(F.sum("size").alias("source_size")), weights, share, most)
+    """For each source: n (rows), source_size, target, epochs, and the cut that ends the fractional epoch:
+    a range of keys (cut_from, cut_to) and the last key taken in it.  ``slim`` is a written table."""
+    sizes = materialise(slim.groupBy(_SOURCE).agg(F.sum(_SIZE).alias("source_size"), F.count("*").alias("n")), "mix-sources")
+    sized = targets(sizes, weights, share, most).join(sizes.select(_SOURCE, "n"), _SOURCE)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    sized = sized.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    upto = F.sum("size").over(Window.partitionBy(_SOURCE).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, 0))
-    met = ranges.withColumn("upto", upto).join(sized.select(_SOURCE, "rest"), _SOURCE)
-    met = met.where((F.col("rest") > 0) & (F.col("upto") - F.col("size") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
-    met = met.select(_SOURCE, _RANGE, (F.col("rest") - F.col("upto") + F.col("size")).alias("room"))
-    within = slim.join(met, [_SOURCE, _RANGE]).groupBy(_SOURCE, _RANGE, "room", _KEY).agg(F.sum(_SIZE).alias("size"))
+    sized = sized.withColumn("epochs", epochs).withColumn("room", F.col("target") - F.col("epochs") * F.col("source_size"))
+    sized = materialise(sized.coalesce(1), "mix-targets")
+    met, bits = sized.select(_SOURCE, "room"), 0
+    while bits < RANGE_BITS:
+        bits = min(RANGE_BITS, bits + STEP_BITS)
+        met = materialise(_met(slim, met, bits).coalesce(1), "mix-ranges")
+        if (met.agg(F.max("n").alias("n")).first()["n"] or 0) <= SORT_ROWS:
+            break
+    within = _inside(slim, met.drop("n")).groupBy(_SOURCE, "from", "to", "room", _KEY).agg(F.sum(_SIZE).alias("size"))
     so_far = F.sum("size").over(Window.partitionBy(_SOURCE).orderBy(_KEY).rowsBetween(Window.unboundedPreceding, 0))
     taken = F.when(so_far - F.col("size") / 2 <= F.col("room"), F.col(_KEY))
-    ends = within.withColumn("ok", taken).groupBy(_SOURCE, F.col(_RANGE).alias("cut_range")).agg(F.max("ok").alias("cut_key"))
-    return sized.join(ends, _SOURCE, "left").select(_SOURCE, "source_size", "target", "epochs", "cut_range", "cut_key")
+    ends = within.withColumn("ok", taken).groupBy(_SOURCE, F.col("from").alias("cut_from"), F.col("to").alias("cut_to"))
+    return sized.drop("room").join(ends.agg(F.max("ok").alias("cut_key")), _SOURCE, "left")
 
 
 #: The columns of a cut, named apart from those of the documents that they meet.
-_CUT = {c: f"__mix_{c}" for c in ("source_size", "target", "epochs", "cut_range", "cut_key")}
+_CUT = {c: f"__mix_{c}" for c in ("source_size", "target", "epochs", "cut_from", "cut_to", "cut_key")}
 
 
 def _taken(keyed: DataFrame, found: DataFrame) -> DataFrame:
     """Keyed rows with the columns of their source's cut, and ``__mix_copies``: how often each is taken."""
-    small = found.count() <= BROADCAST_SOURCES
+    sources = found.agg(F.count("*").alias("sources"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     found = found.withColumnsRenamed(_CUT)
-    rows = keyed.join(F.broadcast(found) if small else found, _SOURCE)
-    at, key = F.col(_CUT["cut_range"]), F.col(_CUT["cut_key"])
-    within = (F.col(_RANGE) < at) | F.coalesce((F.col(_RANGE) == at) & (F.col(_KEY) <= key), F.lit(False))
+    if sources["sources"] <= BROADCAST_SOURCES:
+        rows = keyed.join(F.broadcast(found.drop("n")), _SOURCE)
+    else:
+        rows = join_on_key(keyed, found.withColumnRenamed("n", "__mix_n"), _SOURCE, sources["rows"], "__mix_n")
+    at, key = F.col(_RANGE), F.col(_CUT["cut_key"])
+    within = (at < F.col(_CUT["cut_from"])) | F.coalesce((at < F.col(_CUT["cut_to"])) & (F.col(_KEY) <= key), F.lit(False))
     copies = F.col(_CUT["epochs"]) + F.coalesce(within, F.lit(False)).cast("long")
     return rows.withColumn("__mix_copies", copies)
 

@@ -64,6 +64,16 @@ def test_hot_source_and_odd_rows(spark, odd, empty):
     assert mixing.mix(odd).columns == odd.columns
 
 
+def test_ranges_cut_again_and_many_sources(spark, monkeypatch):
+    rows = [(k, "w " * (1 + k % 50), "hot" if k % 3 else "s%d" % (k % 40)) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix_table(docs).collect()))
+    monkeypatch.setattr(mixing, "SORT_ROWS", 2)
+    monkeypatch.setattr(mixing, "STEP_BITS", 4)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(tuple, mixing.mix_table(docs).collect())) == want
+
+
 def test_mix_repeats_rows_as_often_as_taken(docs):
     want = Counter({r.doc_id: r.taken // r.size for r in mixing.mix_table(docs).collect() if r.size and r.taken})
     got = Counter(r.doc_id for r in mixing.mix(docs).where("text <> ''").collect())
