@@ -138,7 +138,8 @@ def in_descending_order(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (bucket, edge, doc_id, text): inside a bucket ids fall, and the first row of the next bucket
     (edge 1) ends it; the first bucket's first row ends the last bucket.
 
-    Buckets are ranges of ids between quantiles, so no bucket grows with the corpus.
+    Buckets are ranges of ids between quantiles, 20,000 at most: beyond some 20 million documents they grow, and
+    so do the rows of one repeated id, but rows stream through a bucket and none is held whole.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id"), F.col(text_col).cast("string").alias("text"))
