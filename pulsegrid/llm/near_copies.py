@@ -5,18 +5,22 @@ probability 1 - (1 - s**ROWS)**BANDS (0.99985 at 0.8).  A band ties its document
 and components of these ties are the groups that are searched: inside a group the shingle sets themselves
 are compared, and links are followed from document to document as in ``simhash.neighbours``.
 
+A group is cut into blocks of a bounded size, and a task searches one block.  Each block of a large group also
+gets the same few pivots of that group, so the links inside the blocks tie nearly all of a group of copies
+together.  What is not tied to the largest class of its group (the strays) is then held against every block of
+the group: two documents of different classes are never both in the largest one, so no link is lost.
+
 Texts equal but for ASCII case and white space count once.  A text without a word has no shingle and no link.
-A group is searched by one task, which holds its shingle hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import materialise
+from pulsegrid.llm.common import join_on_key, materialise
 
 #: Words of a shingle, and the least similarity of near copies.
 SHINGLE = 5
@@ -24,6 +28,10 @@ ALIKE = 0.8
 BANDS = 48
 ROWS = 8
 SEED = 42
+#: Documents and characters of a block, about, and the pivots that all blocks of one group share.
+BLOCK = 256
+BLOCK_CHARS = 1 << 24
+PIVOTS = 16
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -105,29 +113,106 @@ def alike_links(sets: list[np.ndarray], alike: float = ALIKE) -> list[tuple[int,
     return out
 
 
-def near_links(docs: DataFrame, marked: DataFrame, components, alike: float = ALIKE) -> DataFrame:
-    """(a, b): fingerprints ``fp`` of near copies in ``docs``, a forest over each group.
+def _sets(texts: pd.Series) -> list[np.ndarray]:
+    return [shingles(words_of(t)) for t in texts]
+
+
+def _blocks(n, chars, block: int) -> Column:
+    """How many blocks ``n`` documents with ``chars`` characters fill, at least one."""
+    return F.greatest(F.ceil(n / block), F.ceil(chars / BLOCK_CHARS), F.lit(1)).cast("int")
+
+
+def _pick(of: Column, seed: str) -> Column:
+    """A block from 0 on for each key, of as many as ``of`` says."""
+    return F.pmod(F.xxhash64("key", F.lit(seed)), of.cast("long")).cast("int")
+
+
+def in_blocks(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``candidates`` (key, root, n_chars and more) with ``blocks``, the own ``block``, and ``at``: all blocks to be in."""
+    sizes = candidates.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    sizes = sizes.select("root", "n", _blocks(F.col("n"), F.col("chars"), block).alias("blocks"))
+    rows = join_on_key(candidates, sizes, "root", candidates.count()).withColumn("block", _pick(F.col("blocks"), "block"))
+    # The rank is limited before the shuffle, so no task gets a whole group.
+    ranked = rows.where((F.col("blocks") > 1) & (F.col("n_chars") <= BLOCK_CHARS // (4 * PIVOTS)))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("key")))
+    pivots = ranked.where(F.col("rank") <= PIVOTS).select("key", F.lit(True).alias("pivot"))
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    return rows.join(pivots, "key", "left").withColumn("at", F.when(F.col("pivot"), everywhere).otherwise(F.array("block"))).drop("pivot")
+
+
+def stray_links(texts: DataFrame, members: DataFrame, links: DataFrame, components, alike: float, block: int) -> DataFrame | None:
+    """(a, b) between the classes that ``links`` (ka, kb) leave in each large group; None if each has one class."""
+    roots = components(links.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    classes = members.join(roots.select(F.col("node").alias("key"), F.col("root").alias("cls")), "key", "left")
+    classes = materialise(classes.withColumn("cls", F.coalesce("cls", "key")), "classes")
+    sizes = classes.groupBy("root", "cls").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    most = F.max(F.struct("n", "chars", "cls"))
+    left = sizes.groupBy("root").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    n, chars = F.col("n") - F.col("most.n"), F.col("chars") - F.col("most.chars")
+    left = left.where(n > 0).select("root", F.col("most.cls").alias("largest"), _blocks(n, chars, block).alias("chunks"), "n")
+    left = materialise(left, "strays")
+    if left.isEmpty():
+        return None
+    rows = join_on_key(classes, left, "root", classes.count())
+    one = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.col("block").alias("block"), c.alias("chunk"), F.lit(False).alias("stray")))
+    own = _pick(F.col("chunks"), "chunk")
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), own.alias("chunk"), F.lit(True).alias("stray")))
+    rows = rows.withColumn("to", F.when(F.col("cls") == F.col("largest"), one).otherwise(F.concat(one, every)))
 
-    ``marked`` has k_id, text_hash, fp, key and bands of each row of ``docs``; ``components`` turns links
-    (a, b) into (node, root).
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["key", "stray"])
+        held, strays = pdf[~pdf["stray"]], pdf[pdf["stray"]]
+        out: list[tuple[int, int]] = []
+        if len(held) and len(strays):
+            sets = _sets(held["text"])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            owner, values = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+            cls, fp = held["cls"].to_numpy(np.int64), held["fp"].to_numpy(np.int64)
+            for own_cls, own_fp, text in zip(strays["cls"], strays["fp"], strays["text"]):
+                own_set = shingles(words_of(text))
+                place = np.minimum(np.searchsorted(own_set, values), len(own_set) - 1)
+                both = np.bincount(owner[own_set[place] == values], minlength=len(sets))
+                near = np.flatnonzero((cls != own_cls) & (both >= alike * (sizes + len(own_set) - both) - 1e-9))
+                # One link to each class is enough: what is in it is tied together already.
+                out += [(own_fp, b) for b in fp[near[np.unique(cls[near], return_index=True)[1]]].tolist()]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    dealt = texts.join(rows.drop("at"), ["k_id", "text_hash"]).select("root", "key", "fp", "cls", "text", F.explode("to").alias("t"))
+    dealt = dealt.select("root", "key", "fp", "cls", "text", "t.block", "t.chunk", "t.stray")
+    return dealt.groupBy("root", "block", "chunk").applyInPandas(search, "a long, b long")
+
+
+def near_links(docs: DataFrame, marked: DataFrame, components, alike: float = ALIKE, block: int = BLOCK) -> DataFrame:
+    """(a, b): fingerprints ``fp`` of near copies in ``docs``; their components are those of all linked pairs.
+
+    ``marked`` has k_id, text_hash, n_chars, fp, key and bands of each row of ``docs``; ``components`` turns
+    links (a, b) into (node, root).
     """
-    first = F.min(F.struct("k_id", "text_hash", "fp")).alias("f")
+    first = F.min(F.struct("k_id", "text_hash", "fp", "n_chars")).alias("f")
     distinct = marked.where(F.size("bands") > 0).groupBy("key").agg(first)
     banded = marked.select("key", F.explode("bands").alias("band")).distinct()
-    low = banded.groupBy("band").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
-    ties = banded.join(low, "band").where("key <> b").select(F.col("key").alias("a"), "b")
+    low = banded.groupBy("band").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
+    ties = join_on_key(banded, low, "band", BANDS * marked.count()).where("key <> b").select(F.col("key").alias("a"), "b")
     groups = components(ties)
     groups = groups.select(F.col("node").alias("key"), "root").unionByName(groups.select(F.col("root").alias("key"), "root").distinct())
-    found = materialise(groups.join(distinct, "key").select("key", "root", "f.*"), "candidates")
-    rows = docs.select(
+    candidates = materialise(groups.join(distinct, "key").select("key", "root", "f.*"), "candidates")
+    members = materialise(in_blocks(candidates, block), "members")
+    texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")
     )
-    texts = rows.join(found, ["k_id", "text_hash"]).select("root", "key", "fp", "text")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("key").sort_values("key")
-        fp = pdf["fp"].to_numpy(np.int64)
-        pairs = np.array(alike_links([shingles(words_of(t)) for t in pdf["text"]], alike), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
-
-    return texts.groupBy("root").applyInPandas(search, "a long, b long")
+        fp, key = pdf["fp"].to_numpy(np.int64), pdf["key"].to_numpy(np.int64)
+        i, j = np.array(alike_links(_sets(pdf["text"]), alike), np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"ka": key[i], "kb": key[j], "a": fp[i], "b": fp[j], "large": bool((pdf["blocks"] > 1).any())})
+
+    dealt = texts.join(members, ["k_id", "text_hash"]).select("root", "key", "fp", "blocks", "text", F.explode("at").alias("block"))
+    found = dealt.groupBy("root", "block").applyInPandas(search, "ka long, kb long, a long, b long, large boolean")
+    found = materialise(found, "near")
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return found.select("a", "b")
+    further = stray_links(texts, large, found.where("large"), components, alike, block)
+    return found.select("a", "b") if further is None else found.select("a", "b").unionByName(further)

@@ -254,10 +254,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, alik
         marked = _marked(docs, shingle, "doc_id", "text")
     else:
         text = F.col("text")
-        rows = docs.select("doc_id", fingerprints(text, shingle).alias("fp"), F.xxhash64(text).alias("text_hash"), near_copies.sketches(text).alias("s"))
-        marked = materialise(rows.select("doc_id", "fp", "text_hash", "s.*"), "fingerprints")
+        rows = docs.select("doc_id", fingerprints(text, shingle).alias("fp"), F.xxhash64(text).alias("text_hash"), F.length(text).alias("n_chars"), near_copies.sketches(text).alias("s"))
+        marked = materialise(rows.select("doc_id", "fp", "text_hash", "n_chars", "s.*"), "fingerprints")
         further = near_copies.near_links(docs, marked.withColumn("k_id", key), components, alike)
-        marked = marked.drop("key", "bands")
+        marked = marked.drop("key", "bands", "n_chars")
     labelled = _labelled(marked, radius, further)
     firsts = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     firsts = firsts.select(key.alias("__keep_id"), F.col("text_hash").alias("__keep_text")).distinct()
