@@ -54,6 +54,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the table that ``materialise`` wrote for ``df``, once nothing reads it any more."""
+    spark = df.sparkSession
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def join_on_key(rows: DataFrame, values: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
     """``rows`` with the columns of ``values``: one row for each key and ``n``, how many of ``total`` rows have it.
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, bradley_terry, chat_format, imatch, mixing, pii, quality_rules, simhash, token_counts, url_filter
+from pulsegrid.llm import (
+    bpe, bradley_terry, centroids, chat_format, divergence, imatch, mixing, packing, pii, quality_rules, simhash, token_counts, url_filter,
+)
 from pulsegrid.llm.common import table
 
 
@@ -137,6 +139,77 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, found, _ = centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64.0, seed=1)
+    return centroids.with_inertia(assigned, found)
+
+
+def _op11_sql(rounds: int = 3, k: int = 16) -> str:
+    """Plain assignment and floor means, a pair of steps for each round."""
+    steps = [
+        """kept AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v AS m
+  FROM (SELECT v, sha256('1:' || vec_id) AS h FROM kept ORDER BY h NULLS LAST, v LIMIT {k})
+)""",
+    ]
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS (
+  SELECT n, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS best
+  FROM (SELECT n, vec_id, v, c, CAST(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, c{t})
+  GROUP BY n
+)""")
+        if t < rounds:
+            steps.append(f"""s{t} AS (
+  SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS k FROM (SELECT best.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{t}) GROUP BY c, i
+), m{t} AS (SELECT c, list((s - ((s % k) + k) % k) // k ORDER BY i) AS m FROM s{t} GROUP BY c),
+c{t + 1} AS (SELECT o.c, coalesce(x.m, o.m) AS m FROM c{t} o LEFT JOIN m{t} x USING (c))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(a.best.c AS INTEGER) AS cluster, a.best.d AS distance,
+  CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best.c"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+  FROM documents
+), t AS (SELECT r, lang, source, unnest(found) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, sum(n_lang) AS all_n, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t WHERE (lang, term) IN (SELECT (lang, term) FROM kept) GROUP BY lang, source, term),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+    1 + (1000000000 * (coalesce(n, 0) + 5)::HUGEINT) // (sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p,
+    1 + (1000000000 * (n_lang + 5)::HUGEINT) // (all_n + 5 * v)::HUGEINT AS q
+  FROM g JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), bpe.default_path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_bradley_terry": op1_bradley_terry,
     "op2_url_filter": op2_url_filter,
@@ -148,8 +221,13 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_imatch": op10_imatch,
+    "op11_centroids": op11_centroids,
+    "op12_divergence": op12_divergence,
+    "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": OP2_SQL,
+    "op11_centroids": _op11_sql(),
+    "op12_divergence": OP12_SQL,
 }
