@@ -39,7 +39,7 @@ PRETOKEN_LATIN = _SPLIT.format(letter=r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8
 NOT_LATIN = r"[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ -⁯₠-₿]"
 #: Pre-tokens that a worker remembers, and characters of text that it splits before it merges.
 CACHE_ENTRIES = 300_000
-STEP_CHARS = 1 << 22
+STEP_CHARS = 1 << 20
 _DEAD = -2
 _BREAK = -1
 
