@@ -52,9 +52,11 @@ ISLAND = "shard long, island int, elite binary, sequences int, least int"
 
 # --- encoding
 
-_PURE = re.compile(rb"[a-z]+").fullmatch
-#: A mark behind a letter, before white space: always a word of its own, so a gap before it changes nothing.
-_MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[\x20\n])")
+#: Marks between a Latin letter and white space are words of their own, so a gap before them changes nothing; it spares
+#: the worker from learning each word with each mark.
+_MARKS = re.compile(rb"([.,;:!?#$%&*](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?#$%&*]*)(?=[\x20\n])").sub
+#: Words of letters that are encoded together.
+WORDS = 512
 
 
 class Encoder:
@@ -76,27 +78,28 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, chunks: list[bytes]) -> None:
-        plain = [c for c in chunks if _PURE(c)]
-        for at in range(0, len(plain), 4096):  # words of plain letters have one word end each
-            part = plain[at : at + 4096]
-            ids = self._ids(b" ".join(part).decode())
+        texts = {c: c.decode("utf-8", "replace") for c in chunks}
+        letters = {c: text for c, text in texts.items() if text.isalpha()}
+        words = list(letters)
+        for at in range(0, len(words), WORDS):  # each has one word end, unless it changes in lower case or normal form
+            part = words[at : at + WORDS]
+            ids = self._ids(" ".join(map(letters.__getitem__, part)))
             stops = np.flatnonzero(self.ends_word[ids]) + 1
             if len(stops) == len(part):
                 raw, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
                 self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
             else:
-                self.known.update((c, self._ids(c.decode()).tobytes()) for c in part)
-        for c in chunks:
-            if c not in self.known:
-                self.known[c] = self._ids(c.decode("utf-8", "replace")).tobytes()
+                self.known.update((c, self._ids(letters[c]).tobytes()) for c in part)
+        for c, text in texts.items():
+            if c not in letters:
+                self.known[c] = self._ids(text).tobytes()
 
     def encode(self, texts: Sequence[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = []
         for t in texts:
-            if b"<|" not in t:  # special strings are matched before lower-casing
-                t = _MARK.sub(rb" \1", t.lower())
-            split.append(t.split())
+            # special strings are matched before lower-casing
+            split.append((t if b"<|" in t else _MARKS(rb" \1", t.lower())).split())
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > CACHE_ENTRIES:
             self.known.clear()
@@ -240,15 +243,19 @@ def from_bytes(raw: bytes) -> list[list[int]]:
     return [b[b > 0].tolist() for b in np.split(flat, np.flatnonzero(flat == 0))[:-1]] if len(flat) else []
 
 
+def disordered(lengths: Sequence[int], rng: np.random.Generator) -> list[int]:
+    """Largest first, but for some disorder."""
+    array = np.array(lengths, np.int64)
+    return array[np.argsort(-array * rng.uniform(0.8, 1.25, len(array)))].tolist()
+
+
 def evolve(seeds: list[list[list[int]]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """The best individual after an epoch, from these and best-fit ones in random orders."""
+    """The best individual after an epoch, from these and best-fit ones in other orders."""
     best = max(seeds, key=lambda b: fitness(b, capacity))
     least = lower_bound(lengths, capacity)
     people = list(seeds)
-    array = np.array(lengths)
     while len(people) < POPULATION and len(best) > least:
-        noise = array * rng.uniform(0.8, 1.25, len(array))  # largest first, but for some disorder
-        people.append(packed(array[np.argsort(-noise)].tolist(), capacity))
+        people.append(packed(disordered(lengths, rng), capacity))
         best = max(people, key=lambda b: fitness(b, capacity))
     for _ in range(CROSSOVERS):
         if len(best) <= least:
@@ -273,7 +280,7 @@ def _epoch(islands: DataFrame, turn: int, capacity: int) -> DataFrame:
                 rng = np.random.default_rng([SEED, turn, row["shard"], row["island"]])
                 if turn == 0:
                     lengths = np.frombuffer(row["lengths"], "<u2").tolist()
-                    first = sorted(lengths, reverse=True) if row["island"] == 0 else rng.permutation(sorted(lengths)).tolist()
+                    first = sorted(lengths, reverse=True) if row["island"] == 0 else disordered(lengths, rng)
                     seeds = [packed(first, capacity)]
                 else:
                     seeds = [from_bytes(row["elite"]), from_bytes(row["arrived"])]
@@ -287,17 +294,21 @@ def _epoch(islands: DataFrame, turn: int, capacity: int) -> DataFrame:
     return islands.mapInArrow(run, ISLAND)
 
 
-def _spread(rows: DataFrame) -> DataFrame:
+#: Tasks over which the islands of a level are dealt at most.
+ISLAND_TASKS = 2_000
+
+
+def _spread(rows: DataFrame, shards: int, islands: int) -> DataFrame:
     """A task for a few islands each: their work is long for their size."""
-    return rows.repartition(F.col("shard"), F.col("island"))
+    return rows.repartition(min(ISLAND_TASKS, shards * islands), "shard", "island")
 
 
-def pack_shards(lengths: DataFrame, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """(shard, elite) for rows (shard, length)."""
+def pack_shards(lengths: DataFrame, shards: int, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """(shard, elite) for rows (shard, length) of about that many shards."""
     grouped = lengths.groupBy("shard").agg(F.sort_array(F.collect_list("length")).alias("l"))  # of about SHARD_TOKENS together
     raw = F.unhex(F.array_join(F.transform("l", lambda x: F.lpad(F.hex(x % 256 * 256 + F.shiftright(x, 8)), 4, "0")), ""))
     start = grouped.select("shard", raw.alias("lengths"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    state = materialise(_epoch(_spread(start), 0, capacity), "islands")
+    state = materialise(_epoch(_spread(start, shards, islands), 0, capacity), "islands")
     ring = Window.partitionBy("shard").orderBy("island")
     best = Window.partitionBy("shard").orderBy("sequences", "island")
     for turn in range(1, epochs):
@@ -305,7 +316,7 @@ def pack_shards(lengths: DataFrame, capacity: int, islands: int = ISLANDS, epoch
             break
         first = F.first("elite").over(ring)
         moved = state.withColumn("arrived", F.coalesce(F.lead("elite").over(ring), first))
-        after = materialise(_epoch(_spread(moved), turn, capacity), "islands")
+        after = materialise(_epoch(_spread(moved, shards, islands), turn, capacity), "islands")
         release(state)
         state = after
     return state.withColumn("k", F.row_number().over(best)).where("k = 1").select("shard", "elite")
@@ -351,7 +362,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_
     while tokens:
         shards = max(1, round(tokens / shard_tokens))
         dealt = materialise(rest.withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)).cast("long")), "dealt")
-        slots = pack_shards(dealt.select("shard", F.col("length").cast("int").alias("length")), capacity).mapInArrow(
+        slots = pack_shards(dealt.select("shard", F.col("length").cast("int").alias("length")), shards, capacity).mapInArrow(
             _slots, "shard long, bin long, offset long, length long, rank long"
         )
         rank = F.row_number().over(Window.partitionBy("shard", "length").orderBy("deal", "doc_id", "piece", "ids_crc32"))
