@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.common import small_batches
+
 #: Fixed value: white space, and how byte-level vocabularies split text before merging.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _SPLIT = (
@@ -241,6 +243,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
     worker for each task holds a vocabulary.  Columns of ``docs`` that already have these names are replaced.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for texts in batches:

@@ -54,6 +54,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that a Python worker gets at once; Spark's own default is 64 MB, of which JVM and worker hold copies.
+BATCH_BYTES = "4m"
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers, unless the session has a bound of its own."""
+    if spark.conf.get(_BATCHES, "64m") in ("64m", "64MB", "67108864b", "67108864"):
+        spark.conf.set(_BATCHES, BATCH_BYTES)
+
+
 def release(df: DataFrame) -> None:
     """Delete the table that ``materialise`` wrote for ``df``, once nothing reads it any more."""
     spark = df.sparkSession

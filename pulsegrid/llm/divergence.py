@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import materialise, release
+from pulsegrid.llm.common import materialise, release, small_batches
 
 MIN_DOCS = 30
 TOP = 50
@@ -103,6 +103,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_terms(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows that have it); the empty term stands for the group itself."""
+    small_batches(docs.sparkSession)
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
     rows = docs.select(*names[:2], names[2].cast("binary").alias("text"))
     counted = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long")

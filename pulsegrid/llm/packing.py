@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import materialise, release
+from pulsegrid.llm.common import materialise, release, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -117,6 +117,8 @@ STEP_BYTES = 1 << 22
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and deal, a number that spreads the rows evenly."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault(path, None) or Encoder(path)
         _encoders[path] = encoder
