@@ -75,16 +75,19 @@ def in_chunks(
     ahead: int,
     add: Callable[[WindowSpec], dict | list[dict]],
     chunk_rows: int | None = CHUNK_ROWS,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """``series`` (with dense ``idx``) and the columns that ``add`` makes from an ordered window.
 
     ``add`` may look at most ``ahead`` rows forward; of several dicts each may use the columns of those before
-    it, and ``ahead`` bounds them together.  With ``chunk_rows`` None one partition orders all rows.
+    it, and ``ahead`` bounds them together.  With ``chunk_rows`` None one partition orders all rows.  With
+    ``keep_chunk`` the column ``__chunk`` stays, by which the result is dealt: what is grouped by it needs no shuffle.
     """
     if chunk_rows is not None and ahead >= chunk_rows:
         raise ValueError("a chunk must be longer than what a frame looks ahead")
     if chunk_rows is None:
-        rows, order = series, Window.orderBy("idx")
+        rows = series.withColumn("__chunk", F.lit(0).cast("long")) if keep_chunk else series
+        order = Window.orderBy("idx")
     else:
         chunk = F.floor(F.col("idx") / F.lit(chunk_rows)).cast("long")
         starts = (F.col("idx") % F.lit(chunk_rows) < F.lit(ahead)) & (F.col("idx") >= F.lit(chunk_rows))
@@ -94,4 +97,6 @@ def in_chunks(
     steps = add(order)
     for step in steps if isinstance(steps, list) else [steps]:
         rows = rows.withColumns(step)
-    return rows if chunk_rows is None else rows.where("__own = __chunk").drop("__own", "__chunk")
+    if chunk_rows is None:
+        return rows
+    return rows.where("__own = __chunk").drop("__own", *[] if keep_chunk else ["__chunk"])

@@ -2,25 +2,28 @@
 
 A pattern is a sequence of codes for each of some dimensions, at the same rows.  Its occurrences are counted
 at every offset of the whole series; an occurrence joins a flagged window that starts 0..lag rows after it.
-That needs no join: the number of flagged starts in the next ``lag`` rows is a window sum, and all subsets of
-dimensions are the grouping sets of a cube.  From ``LEVELWISE`` dimensions on the sets are tried level by
-level instead: a set is only counted when all its subsets of one less have a pattern with enough support that
-starts near a flagged window.  Both conditions can only get harder with more dimensions, so none is lost.
+That needs no join: the number of flagged starts in the next ``lag`` rows is a window sum.  Sequences are packed
+into longs (``packed``), all subsets of dimensions are counted in one pass, and from ``LEVELWISE`` dimensions on they
+are counted level by level, expanding only rows whose patterns can still count (``levels``).  Several rules and
+lags are counted together: they share the series, its sequences and the count of each pattern.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from itertools import combinations
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.rules import Frame, WindowRule
+from pulsegrid.operators import levels
 from pulsegrid.operators.order import CHUNK_ROWS, in_chunks
+from pulsegrid.operators.packed import Codec, codecs, texts
+from pulsegrid.operators.tables import materialise
 from pulsegrid.operators.windows import RUN, candidate_ahead, unbroken
 
 LEVELWISE = 5
@@ -52,78 +55,137 @@ class MiningConfig:
             raise ValueError(f"no strategy {self.strategy!r}")
 
 
-def sequence_text(order: WindowSpec, name: str, length: int) -> Column:
-    """The codes of the next ``length`` rows, joined by spaces."""
-    return F.concat_ws(" ", *[F.lead(name, k).over(order) for k in range(length)])
+@dataclass(frozen=True)
+class _Sequences:
+    """The rows of a series with the sequences that start there: s<n>_<dimension>_<k>, whole<n>, and for each variant
+    v (a rule and a lag) is_anom<rule>, n_join<v> (flagged starts within the lag) and cand<v> (whether a flagged window
+    of its run is near)."""
+
+    rows: DataFrame
+    codecs: list[Codec]
+    rule_of: list[int]
 
 
-def _sequences(series: DataFrame, config: MiningConfig) -> DataFrame:
-    """``series`` in one pass over its chunks: for each row and pattern length n the texts s<n>_<dimension> that start
-    there and whether the sequence is whole (whole<n>); is_anom, n_join (flagged starts within the lag) and cand
-    (whether a flagged window of its run is near)."""
-    rule = config.rule
-    lengths = sorted(set(config.lengths))
+def _sequences(series: DataFrame, configs: Sequence[MiningConfig]) -> _Sequences:
+    """In one pass over the chunks of ``series``, for all lengths, rules and lags."""
+    base = configs[0]
+    rules = list(dict.fromkeys(c.rule for c in configs))
+    lengths = sorted({n for c in configs for n in c.lengths})
+    coded = codecs(series, base.dimensions)
 
     def add(order: WindowSpec) -> list[dict[str, Column]]:
-        bad = unbroken(order, rule.length, config.run) & rule(Frame(order, rule.length))
-        out = {f"s{n}_{d}": sequence_text(order, d, n) for n in lengths for d in config.dimensions}
-        out["n_join"] = F.sum(F.col("is_anom").cast("long")).over(order.rowsBetween(0, config.lag))
-        out["cand"] = candidate_ahead(order, config.lag, config.run)
+        first = {f"is_anom{k}": unbroken(order, r.length, base.run) & r(Frame(order, r.length)) for k, r in enumerate(rules)}
+        first |= {f"__digit_{c.name}": c.digit() for c in coded}
+        out: dict[str, Column] = {}
         for n in lengths:
+            for c in coded:
+                out |= c.pack(order, n, f"__digit_{c.name}")
             whole = F.lead("idx", n - 1).over(order).isNotNull()
-            out[f"whole{n}"] = whole & unbroken(order, n, config.run) if config.within_run else whole
-        return [{"is_anom": bad}, out]
-
-    ahead = max(max(lengths) - 1, rule.length - 1 + config.lag)
-    rows = in_chunks(series, ahead, add, config.chunk_rows)
-    return rows.select(
-        "idx", *[f"s{n}_{d}" for n in lengths for d in config.dimensions], *[f"whole{n}" for n in lengths], "n_join", "cand", "is_anom"
-    )
-
-
-def _of_length(sequences: DataFrame, config: MiningConfig, length: int) -> DataFrame:
-    names = [F.col(f"s{length}_{d}").alias(f"p_{d}") for d in config.dimensions]
-    return sequences.where(f"whole{length}").select("idx", *names, "n_join", "cand", "is_anom")
-
-
-def occurrences(series: DataFrame, config: MiningConfig, length: int) -> DataFrame:
-    """A row for each offset that holds a whole sequence: idx, the text p_<dimension> of each dimension,
-    n_join (flagged starts within the lag) and cand (whether a flagged window of its run is near)."""
-    return _of_length(_sequences(series, replace(config, lengths=(length,))), config, length)
-
-
-def _counted(groups) -> DataFrame:
-    return groups.agg(
-        F.count("*").alias("cnt"),
-        F.sum("n_join").alias("join_cnt"),
-        F.sum((F.col("n_join") > 0).cast("long")).alias("distinct_join"),
-        F.max("cand").alias("cand"),
+            out[f"whole{n}"] = whole & unbroken(order, n, base.run) if base.within_run else whole
+        for v, c in enumerate(configs):
+            flagged = f"is_anom{rules.index(c.rule)}"
+            out[f"n_join{v}"] = F.sum(F.col(flagged).cast("long")).over(order.rowsBetween(0, c.lag))
+            out[f"cand{v}"] = candidate_ahead(order, c.lag, base.run, flagged)
+        return [first, out]
+
+    ahead = max(max(lengths) - 1, *[c.rule.length - 1 + c.lag for c in configs])
+    rows = in_chunks(series, ahead, add, base.chunk_rows, keep_chunk=True)
+    names = [x for n in lengths for c in coded for x in c.columns(n)]
+    flags = [f"is_anom{k}" for k in range(len(rules))]
+    of_variant = [f"{x}{v}" for v in range(len(configs)) for x in ("n_join", "cand")]
+    kept = rows.select("__chunk", "idx", *names, *[f"whole{n}" for n in lengths], *of_variant, *flags)
+    return _Sequences(kept, coded, [rules.index(c.rule) for c in configs])
+
+
+def occurrences(series: DataFrame, config: MiningConfig, lengths: Sequence[int] | None = None) -> DataFrame:
+    """A row for each offset and length (of ``lengths``) that holds a whole sequence: idx, pattern_len, the text
+    p_<dimension> of each dimension, n_join (flagged starts within the lag) and cand (whether a flagged window of its
+    run is near)."""
+    lengths = list(lengths or config.lengths)
+    found = _sequences(series, [replace(config, lengths=lengths)])
+    made = [f"if(whole{n}, named_struct('pattern_len', {n}, {', '.join(f"'p_{c.name}', {c.text(n)}" for c in found.codecs)}), NULL)" for n in lengths]
+    rows = found.rows.select("idx", F.expr(f"explode(array({', '.join(made)})) AS x"), "n_join0", "cand0").where("x IS NOT NULL")
+    return rows.select("idx", "x.*", F.col("n_join0").alias("n_join"), F.col("cand0").alias("cand"))
+
+
+def _least(config: MiningConfig, n: int) -> int:
+    """Occurrences of a pattern with enough support; the exact share is tested again below."""
+    return max(1, math.ceil(config.min_support * n * (1 - 1e-9)))
+
+
+def _scored(found: DataFrame, length: int, config: MiningConfig, v: int, n: int, w: int) -> DataFrame:
+    """The patterns of variant ``v`` with their measures."""
+    names = [f"p_{d}" for d in config.dimensions]
+    count, join = F.col("cnt").cast("double"), F.col(f"join{v}")
+    dims = reduce(lambda a, b: a + b, [F.col(p).isNotNull().cast("int") for p in names])
+    k_value = F.when(F.lit(w > 0), F.lit(float(n)) * join.cast("double") / (count * F.lit(max(float(w), 1.0))))
+    scored = found.where(F.col(f"cand{v}")).select(
+        *names,
+        F.lit(length).alias("pattern_len"),
+        dims.alias("n_dims"),
+        "cnt",
+        join.alias("join_cnt"),
+        F.col(f"distinct{v}").alias("distinct_join"),
+        (count / F.lit(float(max(n, 1)))).alias("support"),
+        k_value.alias("k_value"),
+        (F.col(f"distinct{v}") / count).alias("confidence"),
     )
+    return scored.where(F.col("support") >= config.min_support)
 
 
-def _cube(rows: DataFrame, names: Sequence[str], least: float) -> DataFrame:
-    counted = _counted(rows.cube(*names))
-    some = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in names])
-    return counted.where(some & F.col("cand") & (F.col("cnt") >= least))
+def candidates_of(series: DataFrame, configs: Sequence[MiningConfig], bounded: bool = False, top: int | None = None,
+                  report: list[levels.LevelReport] | None = None) -> DataFrame:
+    """The candidates of several configs that differ in rule, lag and thresholds only, with the column ``variant``.
 
+    With ``bounded``, patterns that cannot pass their config's threshold of cross-K may be missing; with ``top``, those
+    that cannot be among that many of highest cross-K, either.  ``report`` gets what each level counted.
 
-def _levelwise(rows: DataFrame, names: Sequence[str], least: float) -> DataFrame:
-    """Grouping sets by size; what the driver keeps is which sets have a member, at most 2 ** dimensions."""
-    levels: list[DataFrame] = []
-    alive: set[frozenset[str]] = set()
-    sets = [frozenset([n]) for n in names]
-    while sets:
-        ordered = [[n for n in names if n in s] for s in sets]
-        level = _counted(rows.groupingSets([[F.col(n) for n in s] for s in ordered], *[F.col(n) for n in names]))
-        level = level.where(F.col("cand") & (F.col("cnt") >= least)).persist(StorageLevel.MEMORY_AND_DISK)
-        levels.append(level)
-        shapes = level.select(*[F.col(n).isNotNull().alias(n) for n in names]).distinct().collect()
-        found = {frozenset(n for n in names if r[n]) for r in shapes}
-        alive |= found
-        size = len(sets[0]) + 1
-        grown = {a | b for a, b in combinations(found, 2) if len(a | b) == size}
-        sets = sorted((s for s in grown if all(s - {n} in alive for n in s)), key=sorted)
-    return reduce(DataFrame.unionByName, levels)
+    The series is read, ordered and cut once; its sequences are held (memory, then disk) while the patterns are counted,
+    which happens here.  The patterns are written to the shared folder, so nothing stays cached.
+    """
+    base = configs[0]
+    if any(replace(c, rule=base.rule, lag=base.lag, k_threshold=base.k_threshold, min_support=base.min_support) != base for c in configs):
+        raise ValueError("configs counted together differ in rule, lag and thresholds only")
+    seen = _sequences(series, configs)
+    rows = seen.rows.persist(StorageLevel.MEMORY_AND_DISK)
+    flags = [c for c in rows.columns if c.startswith("is_anom")]
+    total = rows.agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("long")).alias(c) for c in flags]).first()
+    n, w = total["n"], [total[f"is_anom{r}"] or 0 for r in seen.rule_of]
+    rows_only = rows.drop(*flags)
+    by_level = base.strategy == "levelwise" or (base.strategy == "auto" and len(base.dimensions) >= LEVELWISE)
+    least = [_least(c, n) for c in configs]
+    counters: list[levels.LevelCounter] = []
+    found: list[tuple[int, DataFrame]] = []
+    if not by_level or not n:
+        for length in base.lengths:
+            found.append((length, levels.count_all(rows_only.where(f"whole{length}"), seen.codecs, length, len(configs), min(least))))
+    else:
+        variants = [levels.Variant(w[v], least[v], c.k_threshold if bounded else None) for v, c in enumerate(configs)]
+        best: list[DataFrame] = []
+
+        def tighten(level: DataFrame) -> list[levels.Variant]:
+            """The threshold of cross-K rises to the k-th best so far."""
+            none = level.withColumns({f"p_{d}": F.lit(None).cast("string") for d in base.dimensions})
+            best.append(_scored(none, 0, base, 0, n, w[0]).where(F.col("k_value") > F.lit(base.k_threshold)).select("k_value"))
+            values = [r[0] for r in reduce(DataFrame.unionByName, best).orderBy(F.col("k_value").desc()).limit(top).collect()]
+            return [replace(variants[0], threshold=values[-1], strict=False)] if len(values) == top else variants
+
+        # with within_run a whole long sequence need not start with a whole short one
+        for group in [[x] for x in base.lengths] if base.within_run else [list(base.lengths)]:
+            counter = levels.LevelCounter(rows_only, seen.codecs, n, variants, group, tighten if top else None, report)
+            found += counter.run()
+            counters.append(counter)
+    out = []
+    for length in dict.fromkeys(length for length, _ in found):  # levels meet as longs and become texts together
+        words = reduce(DataFrame.unionByName, [f for n_, f in found if n_ == length])
+        own = {x for c in seen.codecs for x in c.columns(length)}
+        shown = words.select(*texts(seen.codecs, length), *[c for c in words.columns if c not in own])
+        out += [_scored(shown, length, c, v, n, w[v]).withColumn("variant", F.lit(v)) for v, c in enumerate(configs)]
+    counted = materialise(reduce(DataFrame.unionByName, out), "patterns")
+    for counter in counters:
+        counter.close()
+    rows.unpersist()
+    return counted
 
 
 def candidates(series: DataFrame, config: MiningConfig) -> DataFrame:
@@ -131,39 +193,8 @@ def candidates(series: DataFrame, config: MiningConfig) -> DataFrame:
 
     Columns: a p_<dimension> for each dimension (null: not part of the pattern), pattern_len, n_dims, cnt,
     join_cnt, distinct_join, support, k_value, confidence.
-
-    The series is read, ordered and cut once, for all lengths; its sequences are held (memory, then disk) until the
-    patterns are counted, which happens here.  The patterns are held until ``spark.catalog.clearCache()``.
     """
-    names = [f"p_{d}" for d in config.dimensions]
-    out = []
-    sequences = _sequences(series, config).persist(StorageLevel.MEMORY_AND_DISK)
-    total = sequences.agg(F.count("*").alias("n"), F.sum(F.col("is_anom").cast("long")).alias("w")).first()
-    n, w = total["n"], total["w"] or 0
-    for length in config.lengths:
-        rows = _of_length(sequences, config, length)
-        by_level = config.strategy == "levelwise" or (config.strategy == "auto" and len(names) >= LEVELWISE)
-        # A set is worth a level of its own only if its support does; the exact share is tested again below.
-        least = config.min_support * n * (1 - 1e-9)
-        found = (_levelwise if by_level and n else _cube)(rows, names, least)
-        count, bad = F.col("cnt").cast("double"), float(w)
-        dims = reduce(lambda a, b: a + b, [F.col(p).isNotNull().cast("int") for p in names])
-        found = found.select(
-            *names,
-            F.lit(length).alias("pattern_len"),
-            dims.alias("n_dims"),
-            "cnt",
-            "join_cnt",
-            "distinct_join",
-            (count / F.lit(float(max(n, 1)))).alias("support"),
-            F.when(F.lit(w > 0), F.lit(float(n)) * F.col("join_cnt").cast("double") / (count * F.lit(max(bad, 1.0)))).alias("k_value"),
-            (F.col("distinct_join") / count).alias("confidence"),
-        )
-        out.append(found.where(F.col("support") >= config.min_support))
-    counted = reduce(DataFrame.unionByName, out).persist(StorageLevel.MEMORY_AND_DISK)
-    counted.count()
-    sequences.unpersist()
-    return counted
+    return candidates_of(series, [config]).drop("variant")
 
 
 def filter_log(log: DataFrame, k_threshold: float = 1.0, min_support: float = 0.0) -> DataFrame:
@@ -177,7 +208,35 @@ def filter_log(log: DataFrame, k_threshold: float = 1.0, min_support: float = 0.
 
 def mine(series: DataFrame, config: MiningConfig) -> DataFrame:
     """The patterns whose temporal cross-K lies above the threshold."""
-    return candidates(series, config).where(F.col("k_value") > F.lit(config.k_threshold))
+    return candidates_of(series, [config], bounded=True).drop("variant").where(F.col("k_value") > F.lit(config.k_threshold))
+
+
+def mine_all(series: DataFrame, configs: Sequence[MiningConfig]) -> DataFrame:
+    """The patterns of several configs, counted together; ``variant`` is the config's place."""
+    passes = F.lit(False)
+    for v, c in enumerate(configs):
+        passes = F.when(F.col("variant") == v, F.col("k_value") > F.lit(c.k_threshold)).otherwise(passes)
+    return candidates_of(series, configs, bounded=True).where(passes)
+
+
+def mine_top(series: DataFrame, config: MiningConfig, k: int = 100, report: list[levels.LevelReport] | None = None) -> DataFrame:
+    """The k patterns of highest cross-K, as ``top_k(mine(...), k)``.
+
+    Levels are counted with a threshold that rises to the k-th best cross-K so far, so patterns, and sets of dimensions,
+    none of whose extensions can reach it are not extended.
+    """
+    config = replace(config, strategy="levelwise")
+    found = candidates_of(series, [config], bounded=True, top=k, report=report).drop("variant")
+    return top_k(found.where(F.col("k_value") > F.lit(config.k_threshold)), k)
+
+
+def level_report(series: DataFrame, config: MiningConfig) -> DataFrame:
+    """What each level of a level-wise search counted: pattern_len, n_dims, n_sets, n_expanded (keys made for rows),
+    n_frequent (patterns with enough support), n_extended (those that the next level builds on)."""
+    report: list[levels.LevelReport] = []
+    candidates_of(series, [replace(config, strategy="levelwise")], bounded=True, report=report)
+    rows = [(r.length, r.size, r.sets, r.expanded, r.frequent, r.extended) for r in report]
+    return series.sparkSession.createDataFrame(rows, "pattern_len int, n_dims int, n_sets long, n_expanded long, n_frequent long, n_extended long")
 
 
 def names_of(patterns: DataFrame) -> list[str]:
@@ -242,7 +301,7 @@ def occurrence_log(series: DataFrame, config: MiningConfig, kept: DataFrame | No
     dimensions that a kept pattern has (no more than 2 ** dimensions), made of the set and its texts, and one
     equi-join on that key finds its patterns.
     """
-    kept = (mine(series, config) if kept is None else kept).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = materialise(mine(series, config) if kept is None else kept, "kept")
     names = names_of(kept)
     shapes = kept.select(*[F.col(n).isNotNull().alias(n) for n in names]).distinct().collect()
     sets = sorted([n for n in names if r[n]] for r in shapes)
@@ -258,12 +317,10 @@ def occurrence_log(series: DataFrame, config: MiningConfig, kept: DataFrame | No
         same = reduce(lambda a, b: a & b, [F.col(n).isNotNull() if n in on else F.col(n).isNull() for n in names])
         own = F.when(same, key(k)).otherwise(own)
     keyed = kept.withColumn("__key", own)
-    out = []
-    for length in config.lengths:
-        rows = occurrences(series, config, length).where("n_join > 0")
-        rows = rows.select(F.col("idx").alias("start_idx"), F.explode(F.array(*[key(k) for k in range(len(sets))])).alias("__key"))
-        out.append(keyed.where(F.col("pattern_len") == length).join(rows, "__key").select(*columns))
-    return reduce(DataFrame.unionByName, out)
+    rows = occurrences(series, config).where("n_join > 0")
+    keys = F.explode(F.array(*[key(k) for k in range(len(sets))]))
+    rows = rows.select(F.col("idx").alias("start_idx"), "pattern_len", keys.alias("__key"))
+    return keyed.join(rows, ["pattern_len", "__key"]).select(*columns)
 
 
 def transitions(series: DataFrame, dimensions: Iterable[str], chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:

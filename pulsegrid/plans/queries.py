@@ -21,6 +21,7 @@ WIDE_DIMS = ("d0", "d1", "d2", "d3", "d4")
 BAD = WindowRule("abs_standard", 3, standard=6000, guard=None)
 MINING = patterns.MiningConfig(BAD, DIMS, lag=1, k_threshold=1.0, min_support=0.004, lengths=(3,))
 WIDE = replace(MINING, dimensions=WIDE_DIMS)
+SEVEN = replace(MINING, dimensions=(*WIDE_DIMS, "d5", "d6"))
 
 RULES: dict[str, WindowRule] = {
     "windows_abs_std": WindowRule("abs_standard", 3, standard=5000, guard=30000),
@@ -136,6 +137,29 @@ def patterns_levelwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.mine(event_series(spark, sf_dir), WIDE)
 
 
+@query
+def patterns_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven dimensions, level by level: only rows whose smaller patterns can still count are expanded."""
+    return patterns.mine(event_series(spark, sf_dir), SEVEN)
+
+
+@query
+def patterns_topk_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred best of seven dimensions, with a threshold that rises from level to level."""
+    return patterns.mine_top(event_series(spark, sf_dir), SEVEN, 100)
+
+
+@query
+def pattern_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.level_report(event_series(spark, sf_dir), SEVEN)
+
+
+@query
+def patterns_len_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths 2 to 4 of five dimensions; a longer sequence is counted where its shorter ones go on."""
+    return patterns.mine(event_series(spark, sf_dir), replace(WIDE, lengths=(2, 3, 4)))
+
+
 @query
 def singleton_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.candidates(event_series(spark, sf_dir), MINING).where("n_dims = 1")
@@ -174,8 +198,9 @@ def patterns_len_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def patterns_lag_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = event_series(spark, sf_dir)
-    parts = [patterns.mine(series, patterns.with_lag(MINING, n)).withColumn("lag", F.lit(n)) for n in (0, 1, 3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    lags = (0, 1, 3)
+    found = patterns.mine_all(series, [patterns.with_lag(MINING, n) for n in lags])
+    return found.withColumn("lag", F.get(F.array(*[F.lit(n) for n in lags]), F.col("variant"))).drop("variant")
 
 
 @query
@@ -193,12 +218,9 @@ def patterns_within_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def patterns_error_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = event_series(spark, sf_dir)
-    out = None
-    for kind in ("all", "under", "over"):
-        config = replace(MINING, rule=RULES[f"windows_model_error_{kind}"])
-        part = patterns.mine(series, config).withColumn("error_type", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = ("all", "under", "over")
+    found = patterns.mine_all(series, [replace(MINING, rule=RULES[f"windows_model_error_{kind}"]) for kind in kinds])
+    return found.withColumn("error_type", F.get(F.array(*[F.lit(k) for k in kinds]), F.col("variant"))).drop("variant")
 
 
 @query

@@ -13,7 +13,7 @@ SERIES = """r AS (
     CAST(trunc(value / 50) AS INTEGER) AS d0, CAST(floor(hour(ts) / 8) AS INTEGER) AS d1,
     CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END AS d2,
     CAST(floor(CAST(json_extract_string(props, '$.k') AS BIGINT) / 25) AS INTEGER) AS d3,
-    CAST(floor(user_id / 50) AS INTEGER) AS d4
+    CAST(floor(user_id / 50) AS INTEGER) AS d4, CAST(event_id % 3 AS INTEGER) AS d5, CAST(event_id % 2 AS INTEGER) AS d6
   FROM events
 )"""
 
@@ -93,6 +93,8 @@ def _patterns(k: float = 1.0, more: str = "", **how) -> str:
     return f"WITH {mined(**how)} SELECT *{more} FROM c WHERE k_value > {k}"
 
 
+WIDE = ("d0", "d1", "d2", "d3", "d4")
+SEVEN = (*WIDE, "d5", "d6")
 RANK = "k_value DESC, join_cnt DESC, pattern_len, p_d0 NULLS FIRST, p_d1 NULLS FIRST, p_d2 NULLS FIRST"
 
 
@@ -177,6 +179,10 @@ SELECT transition, idx FROM t WHERE transition IS NOT NULL""",
     "slice_rows": f"WITH {SERIES} SELECT idx, iteration, err FROM r WHERE idx BETWEEN 500 AND 559",
     "patterns_cube": _patterns(),
     "patterns_levelwise": _patterns(dims=("d0", "d1", "d2", "d3", "d4")),
+    "patterns_bounded": _patterns(dims=SEVEN),
+    "patterns_topk_bounded": f"""{_patterns(dims=SEVEN)}
+ORDER BY k_value DESC, join_cnt DESC, pattern_len, {", ".join(f"p_{d} NULLS FIRST" for d in SEVEN)} LIMIT 100""",
+    "patterns_len_trie": " UNION ALL ".join(f"SELECT * FROM ({_patterns(dims=WIDE, length=n)})" for n in (2, 3, 4)),
     "singleton_patterns": f"WITH {mined()} SELECT * FROM c WHERE n_dims = 1",
     "patterns_topk20": _top(20),
     "patterns_topk100": _top(100),
