@@ -82,12 +82,25 @@ _SPAN = re.compile(f"{_NUMBER}-{_NUMBER}")
 
 
 def parse_spec(text: str) -> DimensionSpec:
-    """``name,min,max,width[,column][,a-b#c-d]``; the column number of stored files is skipped."""
+    """``name,min,max,width[,column][,a-b#c-d]``; the column number of stored files is skipped.
+
+    What does not parse is an error: a lost interval would shift the codes of those behind it.
+    """
     parts = [p.strip() for p in text.split(",")]
     if len(parts) < 4:
         raise ValueError(f"not a dimension: {text!r}")
     name, low, high, width = parts[0], *map(float, parts[1:4])
-    pairs = [(float(m[1]), float(m[2])) for p in parts[4:] for s in p.split("#") if (m := _SPAN.fullmatch(s.strip()))]
+    more = parts[4:]
+    if more and more[0].isdigit():
+        more = more[1:]
+    if len(more) > 1:
+        raise ValueError(f"not a dimension: {text!r}")
+    pairs = []
+    for span in more[0].split("#") if more and more[0] else []:
+        found = _SPAN.fullmatch(span.strip())
+        if found is None:
+            raise ValueError(f"{name}: not an interval: {span!r}")
+        pairs.append((float(found[1]), float(found[2])))
     return DimensionSpec(name, low, high, width, tuple(pairs))
 
 

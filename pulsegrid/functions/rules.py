@@ -63,6 +63,10 @@ class WindowRule:
             raise ValueError("a window needs a row")
         if self.standard < 0 and self.percent < 0:
             raise ValueError("both thresholds are negative")
+        if self.kind in STANDARD_ONLY and self.standard < 0:
+            raise ValueError(f"{self.kind} compares its measure with the standard threshold, which is missing")
+        if self.kind in PERCENT_ONLY and self.percent < 0:
+            raise ValueError(f"{self.kind} compares the model's error with the per cent threshold, which is missing")
 
     def __call__(self, frame: Frame) -> Column:
         return F.coalesce(RULES[self.kind](self, frame), F.lit(False))
@@ -143,3 +147,7 @@ RULES: dict[str, Callable[[WindowRule, Frame], Column]] = {
     "model_under": _model_error(-1),
     "model_over": _model_error(1),
 }
+
+#: Kinds that use one threshold only, which must then be given.
+STANDARD_ONLY = frozenset({"abs_standard", "rel_standard", "rel_standard_guarded", "specific_nox", "specific_co2"})
+PERCENT_ONLY = frozenset({"model_error", "model_under", "model_over"})

@@ -11,7 +11,6 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,25 +27,63 @@ def scores(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ())
         F.avg(F.abs(a - p)).alias("mae"),
     )
 
-    @F.pandas_udf("double")
-    def significance(r2: pd.Series, n: pd.Series) -> pd.Series:  # a row for each group
-        return pd.Series([None if pd.isna(r) else p_value(float(r), int(k)) for r, k in zip(r2, n)], dtype="float64")
-
-    return found.withColumn("p_value", significance("r2", "n"))
-
-
-def p_value(r2: float, n: int) -> float:
-    """Two-sided p of a correlation under Student's t with n - 2 degrees of freedom, by numerical integration."""
-    if n <= 2:
-        return float("nan")
-    if r2 >= 1:
-        return 0.0
-    t, v = math.sqrt(r2 * (n - 2) / (1 - r2)), n - 2
-    # t = sqrt(v) tan(s): the density becomes a power of a cosine on a bounded range.
-    s = np.linspace(math.atan(t / math.sqrt(v)), math.pi / 2, 20_001)
-    logs = (v - 1) * np.log(np.maximum(np.cos(s), 1e-300))
-    norm = math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(math.pi)
-    return float(min(1.0, 2 * np.trapezoid(np.exp(logs + norm), s)))
+    return found.withColumn("p_value", p_value(F.col("r2"), F.col("n")))
+
+
+#: Coefficients of the expansion of ln(Gamma(z + 1/2) / Gamma(z)) - ln(z) / 2 in odd powers of 1 / z.
+_HALF_STEP = ((1, -1 / 8), (3, 1 / 192), (5, -1 / 640), (7, 17 / 14336), (9, -31 / 18432))
+#: Arguments are raised by this many before the expansion.
+_RAISED = 12
+
+
+def _log_gamma_ratio(z: Column) -> Column:
+    """ln(Gamma(z + 1/2) / Gamma(z)) for z > 0."""
+    high = z + F.lit(float(_RAISED))
+    out = F.log(high) / 2
+    for power, c in _HALF_STEP:
+        out = out + F.lit(c) / F.pow(high, F.lit(float(power)))
+    for k in range(_RAISED):
+        out = out + F.log((z + float(k)) / (z + (k + 0.5)))
+    return out
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function at x below (a + 1) / (a + b + 2), by Lentz's method."""
+    tiny = F.lit(1e-300)
+
+    def away(c: Column) -> Column:
+        return F.when(F.abs(c) < tiny, tiny).otherwise(c)
+
+    def step(state: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d1 = 1 / away(1 + even * state["d"])
+        c1 = away(1 + even / state["c"])
+        d2 = 1 / away(1 + odd * d1)
+        c2 = away(1 + odd / c1)
+        return F.struct(c2.alias("c"), d2.alias("d"), (state["h"] * d1 * c1 * d2 * c2).alias("h"))
+
+    d0 = 1 / away(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+    terms = F.transform(F.sequence(F.lit(1), (60 + 4 * F.sqrt(F.greatest(a, b))).cast("int")), lambda m: m.cast("double"))
+    return F.aggregate(terms, start, step, lambda s: s["h"])
+
+
+def p_value(r2: Column, n: Column) -> Column:
+    """Two-sided p of a squared correlation under Student's t with n - 2 degrees of freedom; NaN without any.
+
+    It is the regularised incomplete beta function at 1 - r2 with (n - 2) / 2 and 1/2, or what that leaves of 1 for
+    the other end, whichever converges: some root of n steps.  Null for a null correlation.
+    """
+    free = F.greatest(n - 2, F.lit(1)).cast("double") / 2
+    inside = F.least(F.greatest(r2, F.lit(1e-300)), F.lit(1 - 1e-16))
+    x, half = 1 - inside, F.lit(0.5)
+    # a half of ln(r2), free of ln(1 - r2), and 1 / B(free, 1/2)
+    front = F.exp(free * F.log(x) + F.log(inside) / 2 + _log_gamma_ratio(free) - F.lit(math.log(math.pi) / 2))
+    low = front * _beta_fraction(free, half, x) / free
+    high = 1 - front * _beta_fraction(half, free, inside) / half
+    found = F.when(x < (free + 1) / (free + 2.5), low).otherwise(high)
+    return F.when(n <= 2, F.lit(float("nan"))).when(r2 >= 1, F.lit(0.0)).when(r2.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), found)))
 
 
 def _normal_equations(rows: DataFrame, keys: Sequence[str], gradient: list[Column], residual: Column) -> DataFrame:

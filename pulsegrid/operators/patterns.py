@@ -323,6 +323,29 @@ def occurrence_log(series: DataFrame, config: MiningConfig, kept: DataFrame | No
     return keyed.join(rows, ["pattern_len", "__key"]).select(*columns)
 
 
+#: Rows of the series that a bin of ``window_pairs`` spans at most.
+BIN_ROWS = 4_096
+
+
+def window_pairs(log: DataFrame, flagged: DataFrame, lag: int) -> DataFrame:
+    """``log`` (start_idx and more) with window_start: a row for each flagged window (start_idx) 0..lag rows ahead.
+
+    An interval join by bins of rows: an occurrence goes to every bin that its lag reaches, two for bins as wide as the
+    lag, and meets the windows there.  A bin holds no more windows than it spans rows; the occurrences of a bin are dealt
+    by their other columns too, so many patterns at one place are no hot key.  At most lag + 1 rows for each occurrence.
+    """
+    width = min(lag + 1, BIN_ROWS)
+    others = [F.col(c).cast("string") for c in log.columns if c != "start_idx"]
+    salts = 8
+    salt = F.pmod(F.xxhash64(*others), F.lit(salts)) if others else F.lit(0).cast("long")
+    first, last = F.floor(F.col("start_idx") / width), F.floor((F.col("start_idx") + lag) / width)
+    left = log.withColumn("__salt", salt).withColumn("__bin", F.explode(F.sequence(first, last)))
+    right = flagged.select(F.col("start_idx").alias("window_start"), F.floor(F.col("start_idx") / width).alias("__bin"))
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    near = (F.col("window_start") >= F.col("start_idx")) & (F.col("window_start") <= F.col("start_idx") + lag)
+    return left.join(right, ["__bin", "__salt"]).where(near).drop("__bin", "__salt")
+
+
 def transitions(series: DataFrame, dimensions: Iterable[str], chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """For each dimension and pair of successive codes ``a-b``, how often it occurs and where first and last."""
     dims = list(dimensions)

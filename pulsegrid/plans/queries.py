@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import features as phys
 from pulsegrid.functions.binning import DimensionSpec, clip, event_code
 from pulsegrid.functions.rules import WindowRule
-from pulsegrid.operators import fits, patterns, points, windows
+from pulsegrid.operators import fits, patterns, points, postings, windows
 from pulsegrid.operators.order import with_index
+from pulsegrid.operators.tables import materialise
 from pulsegrid.sources.events import event_series
 
 DIMS = ("d0", "d1", "d2")
@@ -119,6 +120,20 @@ def transition_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.transition_index(event_series(spark, sf_dir), "d2")
 
 
+#: Ad hoc patterns, by dimension.
+LOOKED_UP = (
+    {"d0": (1, 1)}, {"d2": (4, 0, 2)}, {"d0": (0, 1, 0), "d1": (1, 1, 1)}, {"d0": (1, 0), "d1": (2, 2), "d2": (4, 4)},
+    {"d1": (0, 0, 0, 0, 0)}, {"d1": (0, 2, 0)},
+)
+
+
+@query
+def pattern_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often ad hoc patterns occur, from a stored index of transitions."""
+    index = materialise(postings.postings(event_series(spark, sf_dir), DIMS), "postings")
+    return postings.lookup(index, LOOKED_UP)
+
+
 @query
 def slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.slice_rows(event_series(spark, sf_dir), 500, 60).select("idx", "iteration", "err")
@@ -246,6 +261,15 @@ def pattern_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.occurrence_log(series, MINING, patterns.top_k(patterns.mine(series, MINING), 20))
 
 
+@query
+def pattern_window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each occurrence of the top twenty patterns with each flagged window that it joins, for a lag of 3 rows."""
+    series = event_series(spark, sf_dir)
+    config = patterns.with_lag(MINING, 3)
+    log = patterns.occurrence_log(series, config, patterns.top_k(patterns.mine(series, config), 20))
+    return patterns.window_pairs(log, windows.listing(series, BAD).select("start_idx"), 3)
+
+
 @query
 def pattern_log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of the top twenty patterns, its blocks numbered by rank, cut by cross-K and share of its lines."""

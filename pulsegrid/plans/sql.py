@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pulsegrid.functions import features as phys
 
+#: The ad hoc patterns of pattern_lookup.
+LOOKED_UP = (
+    {"d0": (1, 1)}, {"d2": (4, 0, 2)}, {"d0": (0, 1, 0), "d1": (1, 1, 1)}, {"d0": (1, 0), "d1": (2, 2), "d2": (4, 4)},
+    {"d1": (0, 0, 0, 0, 0)}, {"d1": (0, 2, 0)},
+)
 RUN = "year, month, day, pass"
 
 SERIES = """r AS (
@@ -102,9 +107,9 @@ def _top(n: int) -> str:
     return f"{_patterns()} ORDER BY {RANK} LIMIT {n}"
 
 
-def _log(n: int) -> str:
+def _log(n: int, lag: int = 1) -> str:
     same = " AND ".join(f"(t.p_{d} IS NULL OR t.p_{d} = j.p_{d})" for d in ("d0", "d1", "d2"))
-    return f"""{mined()}, t AS (SELECT * FROM c WHERE k_value > 1 ORDER BY {RANK} LIMIT {n}),
+    return f"""{mined(lag=lag)}, t AS (SELECT * FROM c WHERE k_value > 1 ORDER BY {RANK} LIMIT {n}),
 log AS (SELECT t.p_d0, t.p_d1, t.p_d2, t.pattern_len, j.idx AS start_idx, t.k_value, j.bad
   FROM t JOIN j ON {same} WHERE j.fits AND j.nj > 0)"""
 
@@ -143,14 +148,15 @@ _INDEX = "(nox_gps / (fuel / 3600.0::DOUBLE))"
 _NOX = f"({_INDEX} / 38.0::DOUBLE * fuel)"
 _PRODUCTS = f"(({_N2} + {_O2} + {_num(phys.CO2_MOLES + phys.WATER_MOLES)}) * fuel / {_num(phys.FUEL_MOLE)})"
 
-#: Two-sided p of the correlation under Student's t: with t = sqrt(v) tan(x) its density is a power of a cosine.
+#: Two-sided p of the correlation under Student's t: with t = sqrt(v) tan(x) its density is a power of a cosine, here
+#: summed by Simpson's rule (the trapezoid rule at these steps is off by 5e-7, which six digits show).
 _R2 = "least(1, corr(err, k * 100) * corr(err, k * 100))"
 _V = "(count(*) - 2)::DOUBLE"
 _FROM = f"atan(sqrt({_R2} / greatest(1 - {_R2}, 1e-300)))"
 _STEP = f"((pi() / 2 - {_FROM}) / 20000)"
 _P_VALUE = f"""CASE WHEN count(*) <= 2 THEN 'nan'::DOUBLE WHEN {_R2} >= 1 THEN 0 ELSE least(1, 2 * {_STEP} * list_sum(list_transform(range(20001),
   lambda i: exp(({_V} - 1) * ln(greatest(cos({_FROM} + i * {_STEP}), 1e-300)) + lgamma(({_V} + 1) / 2) - lgamma({_V} / 2) - ln(pi()) / 2)
-    * CASE WHEN i IN (0, 20000) THEN 0.5 ELSE 1 END))) END"""
+    * CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 3))) END"""
 
 ORACLES: dict[str, str] = {name: _listing(c) for name, c in CONDITIONS.items()}
 ORACLES |= {
@@ -203,6 +209,13 @@ ORDER BY k_value DESC, join_cnt DESC, pattern_len, {", ".join(f"p_{d} NULLS FIRS
     "pattern_texts": f"""WITH {mined()} SELECT concat_ws(chr(10), 'd0:' || chr(9) || p_d0, 'd1:' || chr(9) || p_d1, 'd2:' || chr(9) || p_d2)
   AS pattern, cnt, k_value FROM c WHERE k_value > 1""",
     "pattern_occurrences": f"WITH {_log(20)} SELECT p_d0, p_d1, p_d2, pattern_len, start_idx, k_value FROM log",
+    "pattern_window_pairs": f"""WITH {_log(20, 3)} SELECT p_d0, p_d1, p_d2, pattern_len, start_idx, k_value, w.idx AS window_start
+FROM log JOIN w ON w.bad AND w.idx BETWEEN start_idx AND start_idx + 3""",
+    "pattern_lookup": f"WITH {SERIES} " + " UNION ALL ".join(
+        f"SELECT {n} AS pattern, count(*) AS cnt FROM (SELECT {', '.join(f'lead({d}, {k}) OVER o = {c} AS {d}_{k}' for d, codes in p.items() for k, c in enumerate(codes))}"
+        f" FROM r WINDOW o AS (ORDER BY idx)) WHERE {' AND '.join(f'{d}_{k}' for d, codes in p.items() for k in range(len(codes)))}"
+        for n, p in enumerate(LOOKED_UP)
+    ),
     "pattern_points": f"WITH {POINTS} SELECT idx FROM p",
     "pattern_points_complement": f"WITH {POINTS} SELECT idx FROM r WHERE idx NOT IN (SELECT idx FROM p)",
     "pattern_points_after": f"""WITH {_log(4)}, s AS (SELECT * FROM log WHERE bad),

@@ -6,9 +6,9 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType
 
 from pulsegrid.functions.binning import DimensionSpec, clip, event_code, parse_spec, render_spec
 
@@ -57,36 +57,46 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
 def read_readings(spark: SparkSession, data: str, header: str | Sequence[str]) -> DataFrame:
     """A headerless file of readings, in file order: ``idx`` and the named columns.
 
-    Several files follow one another by name.  A field that is no
-    number is an error, as is a line that is too short.
+    A file ends at its first empty line.  Several files follow one another by name.  In the columns that are used, a
+    field that is no number is an error, as is a line that is too short for them.
     """
     names = read_header(spark, header) if isinstance(header, str) else [h.lower() for h in header]
-    schema = StructType([StructField(n, _WHOLE.get(n, DoubleType())) for n in names])
-    return in_file_order(spark.read.schema(schema).option("mode", "FAILFAST").csv(data))
+    schema = ", ".join(f"`{n}` {_WHOLE.get(n, DoubleType()).simpleString()}" for n in names)
+    lines = in_file_order(spark.read.text(data), ends=F.col("value") == "")
+    return lines.select("idx", F.from_csv("value", schema, {"mode": "FAILFAST"}).alias("r")).select("idx", "r.*")
 
 
-def in_file_order(read: DataFrame) -> DataFrame:
+def in_file_order(read: DataFrame, ends: Column | None = None) -> DataFrame:
     """What was read, and ``idx`` by position: file name, place of the split in the file, row in the split.
 
+    ``ends`` marks rows at the first of which a file ends: it and what follows it in the file are left out.
+
     Spark deals the splits of a read by size, so the order of partitions is not that of the files.  Rows of a
     split lie together in one task; the counts of the splits are summed in file order, a row for each split.
     """
     rows = read.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
     rows = rows.withColumn("__at", F.monotonically_increasing_id())
-    splits = rows.groupBy("__file", "__block").agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    end = F.lit(None).cast("long") if ends is None else F.when(ends, F.col("__at"))
+    splits = rows.groupBy("__file", "__block").agg(F.count("*").alias("n"), F.min("__at").alias("__first"), F.min(end).alias("__end"))
+    before = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    over = F.coalesce(F.max(F.col("__end").isNotNull()).over(before), F.lit(False))
+    last = F.when(over, F.col("__first")).otherwise(F.coalesce("__end", F.col("__first") + F.col("n")))
+    splits = splits.withColumn("__last", last)  # of the split, the first row that is left out
     ahead = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("__file", "__block", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("__first")).alias("__offset"))
-    if len(read.inputFiles()) <= BROADCAST_SPLITS:  # large files have more splits, but not without end
+    sums = F.coalesce(F.sum(F.col("__last") - F.col("__first")).over(ahead), F.lit(0))
+    offsets = splits.select("__file", "__block", (sums - F.col("__first")).alias("__offset"), "__last")
+    # a partition holds one split that fills it, or several smaller ones, which end their files
+    if len(read.inputFiles()) + read.rdd.getNumPartitions() <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
-    rows = rows.join(offsets, ["__file", "__block"])
-    return rows.withColumn("idx", F.col("__at") + F.col("__offset")).drop("__file", "__block", "__at", "__offset")
+    rows = rows.join(offsets, ["__file", "__block"]).where("__at < __last")
+    return rows.withColumn("idx", F.col("__at") + F.col("__offset")).drop("__file", "__block", "__at", "__offset", "__last")
 
 
 def read_regulation(spark: SparkSession, data: str) -> DataFrame:
-    """The regulation columns of a wide headerless file, by ordinal."""
-    raw = spark.read.csv(data)
-    cols = [F.col(f"_c{k}").cast(_WHOLE.get(n, DoubleType())).alias(n) for k, n in REGULATION.items()]
-    return in_file_order(raw).select("idx", *cols)
+    """The regulation columns of a wide headerless file without quotes, by ordinal; it ends at its first empty line."""
+    fields = F.split("value", ",")
+    cols = [F.get(fields, k).cast(_WHOLE.get(n, DoubleType())).alias(n) for k, n in REGULATION.items()]
+    return in_file_order(spark.read.text(data), ends=F.col("value") == "").select("idx", *cols)
 
 
 def base_columns(readings: DataFrame, layout: str) -> DataFrame:
@@ -143,8 +153,8 @@ def write_discretised(series: DataFrame, path: str, layout: str, specs: Sequence
 
 
 def read_discretised(spark: SparkSession, path: str, layout: str) -> tuple[DataFrame, list[DimensionSpec]]:
-    """(idx, base columns, codes; the dimensions) of the text form."""
-    lines = in_file_order(spark.read.text(path))
+    """(idx, base columns, codes; the dimensions) of the text form, up to its first empty line."""
+    lines = in_file_order(spark.read.text(path), ends=F.col("value") == "")
     head = [r["value"] for r in lines.where("idx < 4").orderBy("idx").collect()]
     if len(head) < 4:
         raise ValueError(f"{path} has no header")
@@ -180,10 +190,10 @@ def read_pattern_table(spark: SparkSession, path: str) -> DataFrame:
 def read_occurrence_log(spark: SparkSession, path: str) -> DataFrame:
     """block, start_idx, k_value of a log that lists the starts of each pattern and then its cross-K.
 
-    A line with a fraction ends a block.  Blocks are numbered through sums over ranges of lines.
+    A line written as a fraction ends a block, ``2.0`` too.  Blocks are numbered through sums over ranges of lines.
     """
-    lines = in_file_order(spark.read.text(path).where("trim(value) <> ''")).select("idx", F.col("value").cast("double").alias("v"))
-    rows = lines.withColumn("ends", (F.floor("v") != F.col("v")).cast("long")).withColumn("part", F.floor(F.col("idx") / 100_000))
+    lines = in_file_order(spark.read.text(path).where("trim(value) <> ''")).select("idx", "value", F.col("value").cast("double").alias("v"))
+    rows = lines.withColumn("ends", (~F.col("value").rlike(r"^\s*[+-]?[0-9]+\s*$")).cast("long")).withColumn("part", F.floor(F.col("idx") / 100_000))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("part").agg(F.sum("ends").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     within = Window.partitionBy("part").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -192,6 +202,21 @@ def read_occurrence_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("ends = 0").select("block", F.col("v").cast("long").alias("start_idx")).join(ks, "block")
 
 
+def write_occurrence_log(log: DataFrame, path: str) -> None:
+    """``log`` (a pattern's columns, start_idx, k_value) in its text form: the starts of each pattern, then its cross-K.
+
+    Patterns come by falling cross-K, then by their own columns.  Lines are dealt by ranges of this order and sorted in
+    their tasks, so a pattern with many starts is spread over files, which follow one another by name.
+    """
+    keys = [c for c in log.columns if c not in ("start_idx", "k_value")]
+    end = log.select(*keys, "k_value").distinct().withColumns({"start_idx": F.lit(None).cast("long"), "__last": F.lit(1)})
+    rows = log.select(*keys, "k_value", "start_idx", F.lit(0).alias("__last")).unionByName(end)
+    order = [F.col("k_value").desc(), *[F.col(c).asc_nulls_first() for c in keys], F.col("__last"), F.col("start_idx")]
+    # a cross-K without a fraction would read as a start: written as a decimal number it still has one
+    line = F.when(F.col("__last") == 1, F.col("k_value").cast("double").cast("string")).otherwise(F.col("start_idx").cast("string"))
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def read_obd(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Named columns of a file with a header, as doubles, in file order."""
     raw = spark.read.csv(path, header=True)

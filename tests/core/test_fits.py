@@ -43,9 +43,24 @@ def test_scores_and_p_value(spark):
     a, p = np.array(rows).T
     assert got.r2 == pytest.approx(np.corrcoef(a, p)[0, 1] ** 2)
     assert got.rmse == pytest.approx(math.sqrt(((a - p) ** 2).mean())) and got.mae == pytest.approx(abs(a - p).mean())
-    assert fits.p_value(0.0, 30) == pytest.approx(1.0, abs=1e-6)
-    assert fits.p_value(0.2, 12) == pytest.approx(0.1449, abs=2e-3)
-    assert fits.p_value(1.0, 30) == 0
+
+
+def by_integration(r2, n, steps=2_000_000):
+    """With t = sqrt(v) tan(s) the density of Student's t is a power of a cosine."""
+    s = np.linspace(math.atan(math.sqrt(r2 / (1 - r2))), math.pi / 2, steps + 1)
+    logs = (n - 3) * np.log(np.maximum(np.cos(s), 1e-300))
+    return 2 * np.trapezoid(np.exp(logs + math.lgamma((n - 1) / 2) - math.lgamma((n - 2) / 2) - math.log(math.pi) / 2), s)
+
+
+def test_p_value_equals_integration(spark):
+    cases = [(0.2, 12), (0.0, 30), (1e-9, 1000), (0.9, 5), (0.5, 3), (0.3, 4), (0.001, 1000), (0.002, 5000), (0.02, 100_000), (0.999, 40), (0.08, 33)]
+    got = spark.createDataFrame(cases, "r2 double, n long").select("r2", "n", fits.p_value(F.col("r2"), F.col("n")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(by_integration(r.r2, r.n), rel=1e-7), (r.r2, r.n)
+    odd = spark.createDataFrame([(1.0, 30), (None, 9), (0.5, 2), (0.5, 0)], "r2 double, n long").select(fits.p_value(F.col("r2"), F.col("n")).alias("p")).collect()
+    assert odd[0].p == 0 and odd[1].p is None and math.isnan(odd[2].p) and math.isnan(odd[3].p)
+    plan = fits.scores(spark.range(3).selectExpr("id % 2 AS k", "cast(id AS double) AS a"), "a", "a", ["k"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_flame_temperature_solves_the_balance(spark):

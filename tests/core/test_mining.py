@@ -104,6 +104,12 @@ def test_bad_configurations():
         WindowRule("abs_standard", 3)
     with pytest.raises(ValueError):
         WindowRule("nothing", 3, standard=1)
+    for kind in ("model_error", "model_under", "model_over"):
+        with pytest.raises(ValueError):
+            WindowRule(kind, 3, standard=5)
+    for kind in ("abs_standard", "rel_standard", "rel_standard_guarded", "specific_nox", "specific_co2"):
+        with pytest.raises(ValueError):
+            WindowRule(kind, 3, percent=5)
     with pytest.raises(ValueError):
         patterns.MiningConfig(RULE, ())
     with pytest.raises(ValueError):

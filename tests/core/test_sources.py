@@ -124,3 +124,65 @@ def test_clip_lists_differ_by_layout(spark):
     assert code("error", "noxtheoryppm") == 10 and code("co2", "noxtheoryppm") == 3
     assert code("error", "scroutppm") == 3 and code("co2", "scroutppm") == 10 and code("model", "scroutppm") == 10
     assert code("model", "scringps") == 10 and code("error", "speed") == 3
+
+
+@pytest.mark.parametrize("gap", [0, 3, 700, 1999, 2000])
+@pytest.mark.parametrize("split", ["128m", "3k"])
+def test_a_file_ends_at_its_first_empty_line(spark, tmp_path, gap, split):
+    """In the first, a middle and the last split; a second empty line and what follows play no part; other files do."""
+    lines = [f"{k},{2 * k}" for k in range(2000)]
+    text = "\n".join([*lines[:gap], "", *lines[gap : gap + 900], "", "no numbers"]) + "\n"
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "0.csv").write_text(text)
+    (tmp_path / "raw" / "1.csv").write_text("90000,1\n90001,2\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = files.read_readings(spark, str(tmp_path / "raw"), ["iteration", "b"]).orderBy("idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.idx for r in got] == list(range(gap + 2))
+    assert [r.iteration for r in got] == [*range(gap), 90000, 90001]
+
+
+def test_discretised_file_with_empty_lines(spark, tmp_path):
+    head = ["3", "1", "x,0,10,1,10", ",".join([*files.LAYOUTS["error"], "x"])]
+    rows = [f"{k},2020,1,1,0.0,0.0,1.0,2.0,3.0,4,{k}" for k in range(3)]
+    for name, lines, n in (("end", [*rows, "", ""], 3), ("middle", [*rows[:2], "", rows[2]], 2), ("none", ["", *rows], 0)):
+        (tmp_path / name).write_text("\n".join([*head, *lines]) + "\n")
+        back, specs = files.read_discretised(spark, str(tmp_path / name), "error")
+        assert [(r.idx, r.x) for r in back.orderBy("idx").collect()] == [(k, k) for k in range(n)] and specs[0].name == "x"
+
+
+def test_broken_lines_are_errors(spark, tmp_path):
+    for k, bad in enumerate(("1,x", "1")):
+        (tmp_path / f"{k}.csv").write_text(f"0,1\n{bad}\n")
+        with pytest.raises(Exception, match="(?i)malformed|parse"):
+            files.read_readings(spark, str(tmp_path / f"{k}.csv"), ["iteration", "b"]).collect()
+
+
+@pytest.mark.parametrize("text", ["v,0,10,1,5,1-2#x-4#6-7", "v,0,10,1,5,1-2,3-4", "v,0,10,1,5-", "v,0,10,1,1-2#", "v,0,10,1,five", "v,0"])
+def test_broken_specs_are_errors(text):
+    from pulsegrid.functions.binning import parse_spec
+
+    with pytest.raises(ValueError):
+        parse_spec(text)
+
+
+def test_whole_specs():
+    from pulsegrid.functions.binning import parse_spec
+
+    assert parse_spec("v,0,10,1,5,-3--1#-1-2.5e1").intervals == ((-3.0, -1.0), (-1.0, 25.0))
+    assert parse_spec("v, 0, 10, 1, 1-2").intervals == ((1.0, 2.0),) and parse_spec("v,0,10,1,12").intervals == () == parse_spec("v,0,10,1,12,").intervals
+
+
+def test_occurrence_log_round_trip(spark, tmp_path):
+    rows = [("1 1", None, 7, 2.0), ("1 1", None, 30, 2.0), ("1 1", "0 0", 4, 1.25), (None, "0 0", 9, 1.25), (None, "0 0", 2, 1.25)]
+    log = spark.createDataFrame(rows, "p_a string, p_b string, start_idx long, k_value double")
+    files.write_occurrence_log(log, str(tmp_path / "log"))
+    lines = [r.value for r in files.in_file_order(spark.read.text(str(tmp_path / "log"))).orderBy("idx").collect()]
+    assert lines == ["7", "30", "2.0", "2", "9", "1.25", "4", "1.25"]
+    got = files.read_occurrence_log(spark, str(tmp_path / "log")).collect()
+    assert sorted((r.block, r.start_idx, r.k_value) for r in got) == [(0, 7, 2.0), (0, 30, 2.0), (1, 2, 1.25), (1, 9, 1.25), (2, 4, 1.25)]
+    files.write_occurrence_log(log.limit(0), str(tmp_path / "none"))
+    assert files.read_occurrence_log(spark, str(tmp_path / "none")).count() == 0
