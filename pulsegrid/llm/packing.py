@@ -24,6 +24,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ CACHE_ENTRIES = 700_000
 SEED = 29
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
-ISLAND = "shard long, island int, elite binary, sequences int, least int"
+ISLAND = "shard long, island int, elite binary, sequences int, least int, fill double"
 
 
 # --- encoding
@@ -289,20 +290,20 @@ def _epoch(islands: DataFrame, turn: int, capacity: int) -> DataFrame:
                     lengths = sorted(x for b in seeds[0] for x in b)
                 best = evolve(seeds, lengths, capacity, rng)
                 yield pa.RecordBatch.from_pylist(
-                    [{"shard": row["shard"], "island": row["island"], "elite": to_bytes(best), "sequences": len(best), "least": lower_bound(lengths, capacity)}],
-                    schema=pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("elite", pa.binary()), ("sequences", pa.int32()), ("least", pa.int32())]),
+                    [{"shard": row["shard"], "island": row["island"], "elite": to_bytes(best), "sequences": len(best), "least": lower_bound(lengths, capacity), "fill": fitness(best, capacity)[1]}],
+                    schema=pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("elite", pa.binary()), ("sequences", pa.int32()), ("least", pa.int32()), ("fill", pa.float64())]),
                 )
 
     return islands.mapInArrow(run, ISLAND)
 
 
-#: Tasks over which the islands of a level are dealt at most.
-ISLAND_TASKS = 2_000
+#: Islands of a task, about, and tasks over which the islands of a level are dealt at most.
+TASK_ISLANDS, ISLAND_TASKS = 8, 10_000
 
 
 def _spread(rows: DataFrame, shards: int, islands: int) -> DataFrame:
     """A task for a few islands each: their work is long for their size."""
-    return rows.repartition(min(ISLAND_TASKS, shards * islands), "shard", "island")
+    return rows.repartition(min(ISLAND_TASKS, -(-shards * islands // TASK_ISLANDS)), "shard", "island")
 
 
 def pack_shards(lengths: DataFrame, shards: int, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
@@ -312,15 +313,19 @@ def pack_shards(lengths: DataFrame, shards: int, capacity: int, islands: int = I
     start = grouped.select("shard", raw.alias("lengths"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
     state = materialise(_epoch(_spread(start, shards, islands), 0, capacity), "islands")
     ring = Window.partitionBy("shard").orderBy("island")
-    best = Window.partitionBy("shard").orderBy("sequences", "island")
+    best = Window.partitionBy("shard").orderBy("sequences", F.col("fill").desc(), "island")
+    done: list[DataFrame] = []
+    of = Window.partitionBy("shard")
     for turn in range(1, epochs):
-        if state.groupBy("shard").agg(F.min(F.col("sequences") - F.col("least")).alias("over")).where("over > 0").isEmpty():
-            break
+        over = state.withColumn("over", F.min(F.col("sequences") - F.col("least")).over(of))
+        done.append(over.where("over = 0").drop("over"))
         first = F.first("elite").over(ring)
-        moved = state.withColumn("arrived", F.coalesce(F.lead("elite").over(ring), first))
-        after = materialise(_epoch(_spread(moved, shards, islands), turn, capacity), "islands")
-        release(state)
-        state = after
+        moved = over.where("over > 0").withColumn("arrived", F.coalesce(F.lead("elite").over(ring), first)).drop("over")
+        if moved.isEmpty():
+            state = state.limit(0)
+            break
+        state = materialise(_epoch(_spread(moved, shards, islands), turn, capacity), "islands")
+    state = reduce(DataFrame.unionByName, done, state)
     return state.withColumn("k", F.row_number().over(best)).where("k = 1").select("shard", "elite")
 
 
