@@ -141,7 +141,9 @@ def in_blocks(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def stray_links(texts: DataFrame, members: DataFrame, links: DataFrame, components, alike: float, block: int) -> DataFrame | None:
-    """(a, b) between the classes that ``links`` (ka, kb) leave in each large group; None if each has one class."""
+    """(a, b) between the classes that ``links`` (ka, kb) leave in each large group; None if each has one class.
+
+    ``texts`` has the text of each key of ``members``."""
     roots = components(links.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
     classes = members.join(roots.select(F.col("node").alias("key"), F.col("root").alias("cls")), "key", "left")
     classes = materialise(classes.withColumn("cls", F.coalesce("cls", "key")), "classes")
@@ -178,7 +180,7 @@ def stray_links(texts: DataFrame, members: DataFrame, links: DataFrame, componen
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    dealt = texts.join(rows.drop("at"), ["k_id", "text_hash"]).select("root", "key", "fp", "cls", "text", F.explode("to").alias("t"))
+    dealt = texts.join(rows.drop("at"), "key").select("root", "key", "fp", "cls", "text", F.explode("to").alias("t"))
     dealt = dealt.select("root", "key", "fp", "cls", "text", "t.block", "t.chunk", "t.stray")
     return dealt.groupBy("root", "block", "chunk").applyInPandas(search, "a long, b long")
 
@@ -208,7 +210,9 @@ def near_links(docs: DataFrame, marked: DataFrame, components, alike: float = AL
         i, j = np.array(alike_links(_sets(pdf["text"]), alike), np.int64).reshape(-1, 2).T
         return pd.DataFrame({"ka": key[i], "kb": key[j], "a": fp[i], "b": fp[j], "large": bool((pdf["blocks"] > 1).any())})
 
-    dealt = texts.join(members, ["k_id", "text_hash"]).select("root", "key", "fp", "blocks", "text", F.explode("at").alias("block"))
+    # All documents are held against the candidates once; what is compared later is this table.
+    texts = materialise(texts.join(members.select("k_id", "text_hash", "key"), ["k_id", "text_hash"]).select("key", "text"), "texts")
+    dealt = texts.join(members, "key").select("root", "key", "fp", "blocks", "text", F.explode("at").alias("block"))
     found = dealt.groupBy("root", "block").applyInPandas(search, "ka long, kb long, a long, b long, large boolean")
     found = materialise(found, "near")
     large = members.where("blocks > 1")
