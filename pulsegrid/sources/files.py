@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType
 
 from pulsegrid.functions.binning import DimensionSpec, clip, event_code, parse_spec, render_spec
 
-_WHOLE = {"iteration": LongType(), "year": IntegerType(), "month": IntegerType(), "day": IntegerType(), "pass": IntegerType()}
+WHOLE = {"iteration": LongType(), "year": IntegerType(), "month": IntegerType(), "day": IntegerType(), "pass": IntegerType()}
 #: Base columns of the layouts, in order; the event codes follow them.
 LAYOUTS: dict[str, tuple[str, ...]] = {
     "error": ("iteration", "year", "month", "day", "latitude", "longitude", "rel_error", "theory", "abs_error", "pass"),
@@ -61,7 +61,7 @@ def read_readings(spark: SparkSession, data: str, header: str | Sequence[str]) -
     field that is no number is an error, as is a line that is too short for them.
     """
     names = read_header(spark, header) if isinstance(header, str) else [h.lower() for h in header]
-    schema = ", ".join(f"`{n}` {_WHOLE.get(n, DoubleType()).simpleString()}" for n in names)
+    schema = ", ".join(f"`{n}` {WHOLE.get(n, DoubleType()).simpleString()}" for n in names)
     lines = in_file_order(spark.read.text(data), ends=F.col("value") == "")
     return lines.select("idx", F.from_csv("value", schema, {"mode": "FAILFAST"}).alias("r")).select("idx", "r.*")
 
@@ -95,7 +95,7 @@ def in_file_order(read: DataFrame, ends: Column | None = None) -> DataFrame:
 def read_regulation(spark: SparkSession, data: str) -> DataFrame:
     """The regulation columns of a wide headerless file without quotes, by ordinal; it ends at its first empty line."""
     fields = F.split("value", ",")
-    cols = [F.get(fields, k).cast(_WHOLE.get(n, DoubleType())).alias(n) for k, n in REGULATION.items()]
+    cols = [F.get(fields, k).cast(WHOLE.get(n, DoubleType())).alias(n) for k, n in REGULATION.items()]
     return in_file_order(spark.read.text(data), ends=F.col("value") == "").select("idx", *cols)
 
 
@@ -163,7 +163,7 @@ def read_discretised(spark: SparkSession, path: str, layout: str) -> tuple[DataF
         raise ValueError(f"{path} names {len(specs)} dimensions, not {head[1]}")
     fields = F.split("value", ",")
     names = [*LAYOUTS[layout], *[s.name.lower() for s in specs]]
-    types = [_WHOLE.get(n, DoubleType()) for n in LAYOUTS[layout]] + [IntegerType()] * len(specs)
+    types = [WHOLE.get(n, DoubleType()) for n in LAYOUTS[layout]] + [IntegerType()] * len(specs)
     cols = [F.get(fields, k).cast(t).alias(n) for k, (n, t) in enumerate(zip(names, types))]
     return lines.where("idx >= 4").select((F.col("idx") - 4).alias("idx"), *cols), specs
 
