@@ -151,3 +151,13 @@ RULES: dict[str, Callable[[WindowRule, Frame], Column]] = {
 #: Kinds that use one threshold only, which must then be given.
 STANDARD_ONLY = frozenset({"abs_standard", "rel_standard", "rel_standard_guarded", "specific_nox", "specific_co2"})
 PERCENT_ONLY = frozenset({"model_error", "model_under", "model_over"})
+
+#: Kinds by the error that they look for: the model too low, off either way, too high.
+ERROR_TYPES = {-1: "model_under", 0: "model_error", 1: "model_over"}
+
+
+def model_rule(error_type: int, length: int, percent: float) -> WindowRule:
+    """The rule of a model's error by its type: -1, 0 or 1."""
+    if error_type not in ERROR_TYPES:
+        raise ValueError(f"no error type {error_type!r}")
+    return WindowRule(ERROR_TYPES[error_type], length, percent=percent)

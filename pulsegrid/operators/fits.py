@@ -86,6 +86,10 @@ def p_value(r2: Column, n: Column) -> Column:
     return F.when(n <= 2, F.lit(float("nan"))).when(r2 >= 1, F.lit(0.0)).when(r2.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), found)))
 
 
+#: Groups that are fitted together at most.
+MOST_GROUPS = 20_000
+
+
 def _normal_equations(rows: DataFrame, keys: Sequence[str], gradient: list[Column], residual: Column) -> DataFrame:
     k = len(gradient)
     sums = [F.sum(gradient[i] * gradient[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
@@ -108,9 +112,12 @@ def fit_power_law(
 
     Rows with a value that is not positive cannot be in a power law and are left out.  The least squares are
     in the target itself; parameters are ln(a) and the exponents, with centred logarithms, so that steps are
-    well scaled whatever the size of ``a``.  ``keys`` must name few groups: their rows come to the driver.
+    well scaled whatever the size of ``a``.  ``keys`` must name few groups, ``MOST_GROUPS`` at most: their sums come to
+    the driver and their parameters are broadcast.  More are refused.
     """
     spark = df.sparkSession
+    if keys and df.select(*keys).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
     good = F.col(target) > 0
     for f in factors:
         good = good & (F.col(f) > 0)

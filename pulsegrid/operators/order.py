@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Rows of a chunk, without its halo: small enough to spread a short series over the tasks there are.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 10_000
 #: Rows of a key range while the dense order is assigned, about; and ranges at most.
 RANGE_ROWS = 12_500
 MAX_RANGES = 10_000
@@ -100,3 +100,21 @@ def in_chunks(
     if chunk_rows is None:
         return rows
     return rows.where("__own = __chunk").drop("__own", *[] if keep_chunk else ["__chunk"])
+
+
+#: Parts into which the rows of one key are dealt by ``join_few``.
+SALTS = 8
+
+
+def join_few(rows: DataFrame, few: DataFrame, on: Sequence[str], by: str) -> DataFrame:
+    """``rows`` joined with ``few``, a row for each key ``on`` (nulls are a key of their own).
+
+    The rows of a key are dealt by ``by`` into ``SALTS`` parts, and ``few`` goes to each, so a frequent key is spread.
+    """
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    names = {c: f"__few_{c}" for c in on}
+    right = few.withColumnsRenamed(names).withColumn("__salt_few", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    same = F.col("__salt") == F.col("__salt_few")
+    for c, renamed in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(renamed))
+    return left.join(right, same).drop("__salt", "__salt_few", *names.values())

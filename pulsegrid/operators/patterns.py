@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.rules import Frame, WindowRule
 from pulsegrid.operators import levels
-from pulsegrid.operators.order import CHUNK_ROWS, in_chunks
+from pulsegrid.operators.order import CHUNK_ROWS, SALTS, in_chunks, join_few
 from pulsegrid.operators.packed import Codec, codecs, texts
 from pulsegrid.operators.tables import materialise
 from pulsegrid.operators.windows import RUN, candidate_ahead, unbroken
@@ -320,7 +320,7 @@ def occurrence_log(series: DataFrame, config: MiningConfig, kept: DataFrame | No
     rows = occurrences(series, config).where("n_join > 0")
     keys = F.explode(F.array(*[key(k) for k in range(len(sets))]))
     rows = rows.select(F.col("idx").alias("start_idx"), "pattern_len", keys.alias("__key"))
-    return keyed.join(rows, ["pattern_len", "__key"]).select(*columns)
+    return join_few(rows, keyed, ["pattern_len", "__key"], by="start_idx").select(*columns)
 
 
 #: Rows of the series that a bin of ``window_pairs`` spans at most.
@@ -336,12 +336,11 @@ def window_pairs(log: DataFrame, flagged: DataFrame, lag: int) -> DataFrame:
     """
     width = min(lag + 1, BIN_ROWS)
     others = [F.col(c).cast("string") for c in log.columns if c != "start_idx"]
-    salts = 8
-    salt = F.pmod(F.xxhash64(*others), F.lit(salts)) if others else F.lit(0).cast("long")
+    salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)) if others else F.lit(0).cast("long")
     first, last = F.floor(F.col("start_idx") / width), F.floor((F.col("start_idx") + lag) / width)
     left = log.withColumn("__salt", salt).withColumn("__bin", F.explode(F.sequence(first, last)))
     right = flagged.select(F.col("start_idx").alias("window_start"), F.floor(F.col("start_idx") / width).alias("__bin"))
-    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     near = (F.col("window_start") >= F.col("start_idx")) & (F.col("window_start") <= F.col("start_idx") + lag)
     return left.join(right, ["__bin", "__salt"]).where(near).drop("__bin", "__salt")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.order import CHUNK_ROWS, in_chunks
+from pulsegrid.operators.order import CHUNK_ROWS, in_chunks, join_few
 
 
 def slice_rows(series: DataFrame, start: int, rows: int = 60) -> DataFrame:
@@ -26,15 +26,11 @@ def expand_after(starts: DataFrame, rows: int, keys: list[str]) -> DataFrame:
     points = starts.select(*keys, each)
     taken = starts.select(*keys, F.col("start_idx").alias("idx"))
 
-    def same(other: DataFrame, *more: str):
-        on = [points[k].eqNullSafe(other[k]) for k in keys] + [points[m] == other[m] for m in more]
-        out = on[0]
-        for c in on[1:]:
-            out = out & c
-        return out
-
-    points = points.join(taken, same(taken, "idx"), "left_anti")
-    return points.join(last, same(last)).where(points["idx"] < F.col("__last")).select(*[points[k] for k in keys], points["idx"])
+    same = points["idx"] == taken["idx"]
+    for k in keys:
+        same = same & points[k].eqNullSafe(taken[k])
+    points = points.join(taken, same, "left_anti")
+    return join_few(points, last, keys, by="idx").where("idx < __last").select(*keys, "idx")
 
 
 def complement(series: DataFrame, points: DataFrame) -> DataFrame:

@@ -32,6 +32,25 @@ def test_least_squares_are_in_the_target(spark):
         assert loss(got.a * da, got.b * db) >= best
 
 
+def test_exact_laws_in_closed_form(spark):
+    """Without noise the fit is the law; of two points each, it is the line through their logarithms."""
+    rows = [(g, x, z, a * x**b * z**c) for g, (a, b, c) in enumerate([(3.0, 2.0, -1.0), (1e6, -0.5, 0.25), (1e-5, 0.1, 3.0)]) for x in (1.0, 2.0, 3.5, 7.0) for z in (0.5, 1.5, 4.0)]
+    got = fits.fit_power_law(spark.createDataFrame(rows, "g int, x double, z double, y double"), "y", ["x", "z"], ["g"]).orderBy("g").collect()
+    for r, (a, b, c) in zip(got, [(3.0, 2.0, -1.0), (1e6, -0.5, 0.25), (1e-5, 0.1, 3.0)]):
+        assert (r.a, r.b, r.c) == pytest.approx((a, b, c), rel=1e-6) and r.n == 12 and r.rmse < 1e-6 * a * 1e3
+    two = [(k, 1.0 + k, 5.0 + k, 2.0 + k, 11.0 * (k + 1)) for k in range(3)]
+    df = spark.createDataFrame([(k, x, y) for k, a, b, p, q in two for x, y in ((a, p), (b, q))], "k int, x double, y double")
+    for r, (_, a, b, p, q) in zip(fits.fit_power_law(df, "y", ["x"], ["k"]).orderBy("k").collect(), two):
+        slope = math.log(q / p) / math.log(b / a)
+        assert r.b == pytest.approx(slope, rel=1e-6) and r.a == pytest.approx(p / a**slope, rel=1e-6)
+
+
+def test_many_groups_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(fits, "MOST_GROUPS", 2)
+    with pytest.raises(ValueError):
+        fits.fit_power_law(spark.range(9).selectExpr("id AS k", "1.0D + id AS x", "2.0D + id AS y"), "y", ["x"], ["k"])
+
+
 def test_empty_fit(spark):
     df = spark.createDataFrame([(-1.0, 2.0)], "x double, y double")
     assert fits.fit_power_law(df, "y", ["x"]).count() == 0

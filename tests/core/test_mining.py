@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.rules import WindowRule
+from pulsegrid.functions.rules import WindowRule, model_rule
 from pulsegrid.operators import patterns, windows
 from pulsegrid.operators.order import in_chunks, with_index
 from tests.core import brute
@@ -107,6 +107,9 @@ def test_bad_configurations():
     for kind in ("model_error", "model_under", "model_over"):
         with pytest.raises(ValueError):
             WindowRule(kind, 3, standard=5)
+    with pytest.raises(ValueError):
+        model_rule(2, 3, 50)
+    assert [model_rule(t, 3, 50).kind for t in (-1, 0, 1)] == ["model_under", "model_error", "model_over"]
     for kind in ("abs_standard", "rel_standard", "rel_standard_guarded", "specific_nox", "specific_co2"):
         with pytest.raises(ValueError):
             WindowRule(kind, 3, percent=5)
