@@ -40,10 +40,9 @@ ABSENT_URLS = 20_000
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """The list of op2: the urls of spam hosts, one url in sixteen as a stand-in for reported pages, and absent ones."""
+    """The list of op2: the urls of spam hosts, and absent ones."""
     host, _ = url_filter.split_url(F.col("url"))
-    plain = url_filter.canonical_url(F.col("url"))
-    named = pages.where(host.rlike(SPAM_HOSTS) | (F.substring(F.md5(plain), 1, 1) == "0")).select(F.col("url").cast("string"))
+    named = pages.where(host.rlike(SPAM_HOSTS)).select(F.col("url").cast("string"))
     return named.unionByName(pages.sparkSession.range(ABSENT_URLS).selectExpr("concat('http://www.none-such.example.org/', id, '/') AS url"))
 
 
@@ -75,8 +74,7 @@ WITH urls AS (
   SELECT n, host, regexp_replace(regexp_replace(host, '^www[.]', '') || path, '/$', '') AS url FROM split
 ), listed AS (
   SELECT DISTINCT url FROM plain
-  WHERE url <> '' AND (starts_with(md5(url), '0')
-    OR regexp_matches(host, '^([a-z]+[.])?(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)[.]'))
+  WHERE url <> '' AND regexp_matches(host, '^([a-z]+[.])?(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)[.]')
 )
 SELECT s.page_id, s.host, s.path, f.rule,
   coalesce(f.ruled, CASE WHEN l.url IS NOT NULL AND s.host <> '' THEN 'block' ELSE 'allow' END) AS verdict

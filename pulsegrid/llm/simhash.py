@@ -36,9 +36,9 @@ RADIUS = 2
 #: Distinct fingerprints of a shard, about, and the sampled ones that tell how to cut it.
 SHARD = 5_000
 SHARD_SAMPLE = 16
-#: Least and most fingerprints that the driver samples to build the tree (8 bytes each).
+#: Least and most fingerprints that the driver samples to build the tree: a minute's work and some 200,000 nodes at most.
 SAMPLE = 20_000
-MOST_SAMPLE = 2_000_000
+MOST_SAMPLE = 131_072
 #: A part of a shard this small is searched directly.
 LEAF = 256
 
