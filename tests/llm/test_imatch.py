@@ -48,3 +48,56 @@ def test_document_frequencies_count_all_documents(docs):
             want[t] = want.get(t, 0) + 1
     got = {r.term: r.df for r in imatch.document_frequencies(docs).collect()}
     assert got == dict(zip(imatch.hashes(want).view(np.int64).tolist(), want.values()))
+
+
+def slow_fingerprint(text, words):
+    """By loops over subsets and terms, in whole numbers: {(level, subset): hash}."""
+    import xxhash
+
+    hashed = {xxhash.xxh64_intdigest(t.encode()) for t in imatch.terms(text)}
+    own = sorted(hashed & words) or sorted(hashed)
+    out = {}
+    for level in range(imatch.LEVELS):
+        for subset in range(imatch.SUBSETS):
+            total, held = 0, False
+            for term in own:
+                x = term * int(imatch._MIX[subset]) % 2**64
+                x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+                if x >> 32 < 1 << (30 - 2 * level):
+                    total, held = total + (x & 0xFFFFFFFF), True
+            out[level, subset] = total % 65535 + 1 if held else 0
+    return out
+
+
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    at = 0
+    for level in range(imatch.LEVELS):
+        if 4 * sum(bool(a[level, s] or b[level, s]) for s in range(imatch.SUBSETS)) >= imatch.SUBSETS:
+            at = level
+    informed = [s for s in range(imatch.SUBSETS) if a[at, s] or b[at, s]]
+    return sum(a[at, s] == b[at, s] for s in informed) / len(informed) if informed else 0.0
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark, docs):
+    import xxhash
+
+    some = docs.where("length(text) < 1500 AND doc_id < 90")
+    rows = sorted(((r.doc_id, r.text or "") for r in some.collect()), reverse=True)
+    n, df = len(rows), {}
+    for _, text in rows:
+        for t in imatch.terms(text):
+            df[t] = df.get(t, 0) + 1
+    words = {xxhash.xxh64_intdigest(t.encode()) for t, k in df.items() if max(2, 0.02 * n) <= k <= 0.5 * n}
+    marks = [slow_fingerprint(text, words) for _, text in rows]
+    got = {r.doc_id: r for r in imatch.compare_with_edits(some, min_share=0.02, max_share=0.5).collect()}
+    assert len(got) == n > 20
+    for k, (doc_id, text) in enumerate(rows):
+        after = (k + 1) % n
+        cut = len(text) // 3
+        edited = slow_fingerprint(text[: len(text) - cut] + rows[after][1][:cut], words)
+        r = got[doc_id]
+        for shown, mark in ((r.fingerprint, marks[k]), (r.edited_fingerprint, edited)):
+            assert shown == "".join(f"{mark[level, s]:04x}" for level in range(imatch.LEVELS) for s in range(imatch.SUBSETS))
+        assert r.near_edited == slow_likeness(marks[k], edited) and r.near_next == slow_likeness(marks[k], marks[after])

@@ -91,3 +91,52 @@ def test_better_documents_come_first(spark):
 def test_plan_has_no_python(docs):
     plan = mixing.mix(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def brute_force(rows, seed=17, parts=(5, 2, 1)):
+    """{place of the row: copies}: keys by the same hash, each source sorted whole, the prefix nearest to the target."""
+    import math
+    import struct
+
+    import xxhash
+
+    def hashed(*values):
+        h = 42
+        for v in values:
+            if v is None:
+                continue
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i" if v is seed else "<q", v), h)
+        return h
+
+    sizes, by = defaultdict(int), defaultdict(list)
+    for at, (doc_id, text, source) in enumerate(rows):
+        size = len(WORD.findall(text or ""))
+        symbols = len(re.findall(r"[#*$%&|<>{}=\\^~]", text or ""))
+        u = ((hashed(seed, doc_id, text) >> 11) + 0.5) / 2.0**53
+        by[source].append((-math.log(u) / (1.0 / (1.0 + symbols / max(size, 1))), size, at))
+        sizes[source] += size
+    targets, copies = want_targets(dict(sizes), parts), {}
+    for source, own in by.items():
+        epochs = int(targets[source] // sizes[source]) if sizes[source] else 0
+        room, so_far = targets[source] - epochs * sizes[source], 0
+        own.sort()
+        for key, size, at in own:
+            mates = sum(s for k, s, _ in own if k == key)  # rows equal in id and text share a key
+            if key != (own[own.index((key, size, at)) - 1][0] if own.index((key, size, at)) else None):
+                so_far += mates
+            copies[at] = epochs + (sizes[source] > 0 and room > 0 and so_far - mates / 2 <= room)
+    return copies
+
+
+def test_choice_equals_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    copies = brute_force(rows)
+    want = sorted((doc_id, len(WORD.findall(text or "")) * copies[at]) for at, (doc_id, text, _) in enumerate(rows))
+    assert sorted((r.doc_id, r.taken) for r in mixing.mix_table(docs).collect()) == want
+    taken = defaultdict(int)
+    for r in mixing.mix(docs).select("doc_id", "text").collect():
+        taken[(r.doc_id, r.text)] += 1
+    want = defaultdict(int)
+    for at, (doc_id, text, _) in enumerate(rows):
+        want[(doc_id, text)] += copies[at]
+    assert taken == {k: n for k, n in want.items() if n}
