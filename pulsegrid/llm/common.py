@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.tables import materialise, release, shared_dir  # noqa: F401
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -27,33 +27,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``.  Where that is unset, a session on one machine
-    makes and sets a temporary folder; on a cluster it is an error, since executors would not see the driver's.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of text that a Python worker gets at once; Spark's own default is 64 MB, of which JVM and worker hold copies.
 BATCH_BYTES = "4m"
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -65,16 +38,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCHES, BATCH_BYTES)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the table that ``materialise`` wrote for ``df``, once nothing reads it any more."""
-    spark = df.sparkSession
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def join_on_key(rows: DataFrame, values: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
     """``rows`` with the columns of ``values``: one row for each key and ``n``, how many of ``total`` rows have it.
 
