@@ -2,7 +2,8 @@
 
 Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima, so that a pair of similarity s meets with
 probability 1 - (1 - s**ROWS)**BANDS (0.99985 at 0.8).  A band ties its documents to the least of them only,
-and components of these ties are the groups that are searched: inside a group the shingle sets themselves
+first within each batch and then between batches, so that one shuffle with at most a row for each batch and band
+is enough.  Components of these ties are the groups that are searched: inside a group the shingle sets themselves
 are compared, and links are followed from document to document as in ``simhash.neighbours``.
 
 A group is cut into blocks of a bounded size, and a task searches one block.  Each block of a large group also
@@ -15,12 +16,14 @@ Texts equal but for ASCII case and white space count once.  A text without a wor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import join_on_key, materialise
+from pulsegrid.llm.common import join_on_key, materialise, release
 
 #: Words of a shingle, and the least similarity of near copies.
 SHINGLE = 5
@@ -113,6 +116,39 @@ def alike_links(sets: list[np.ndarray], alike: float = ALIKE) -> list[tuple[int,
     return out
 
 
+def band_ties(marked: DataFrame) -> DataFrame:
+    """(a, b): keys that share a band, tied to the least key of that band; ``marked`` has key and bands.
+
+    Of a band that many documents share, each batch sends only its least key, so no task gets them all."""
+
+    def combined(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bands in order, their keys in order, and the place where each row's band begins."""
+        sizes = pdf["bands"].map(len).to_numpy(np.int64)
+        if not sizes.sum():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        band, key = np.concatenate(pdf["bands"].to_list()).astype(np.int64), np.repeat(pdf["key"].to_numpy(np.int64), sizes)
+        order = np.lexsort((key, band))
+        band, key = band[order], key[order]
+        first = np.r_[True, band[1:] != band[:-1]]
+        return band, key, np.maximum.accumulate(np.where(first, np.arange(len(band)), 0))
+
+    def inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            _, key, first = combined(pdf)
+            yield pd.DataFrame({"a": key, "b": key[first]}).query("a != b").drop_duplicates()
+
+    def least(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            band, key, first = combined(pdf)
+            at = np.unique(first)
+            yield pd.DataFrame({"band": band[at], "key": key[at]})
+
+    rows = marked.select("key", "bands")
+    low = F.min("key").over(Window.partitionBy("band"))
+    between = rows.mapInPandas(least, "band long, key long").select(F.col("key").alias("a"), low.alias("b"))
+    return rows.mapInPandas(inside, "a long, b long").unionByName(between.where("a <> b"))
+
+
 def _sets(texts: pd.Series) -> list[np.ndarray]:
     return [shingles(words_of(t)) for t in texts]
 
@@ -143,7 +179,7 @@ def in_blocks(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
 def stray_links(texts: DataFrame, members: DataFrame, links: DataFrame, components, alike: float, block: int) -> DataFrame | None:
     """(a, b) between the classes that ``links`` (ka, kb) leave in each large group; None if each has one class.
 
-    ``texts`` has the text of each key of ``members``."""
+    ``texts`` has the text and fp of each key of ``members``."""
     roots = components(links.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
     classes = members.join(roots.select(F.col("node").alias("key"), F.col("root").alias("cls")), "key", "left")
     classes = materialise(classes.withColumn("cls", F.coalesce("cls", "key")), "classes")
@@ -180,9 +216,13 @@ def stray_links(texts: DataFrame, members: DataFrame, links: DataFrame, componen
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    dealt = texts.join(rows.drop("at"), "key").select("root", "key", "fp", "cls", "text", F.explode("to").alias("t"))
+    dealt = texts.select("key", "fp", "text").join(rows.select("root", "key", "cls", "to"), "key")
+    dealt = dealt.select("root", "key", "fp", "cls", "text", F.explode("to").alias("t"))
     dealt = dealt.select("root", "key", "fp", "cls", "text", "t.block", "t.chunk", "t.stray")
-    return dealt.groupBy("root", "block", "chunk").applyInPandas(search, "a long, b long")
+    found = materialise(dealt.groupBy("root", "block", "chunk").applyInPandas(search, "a long, b long"), "near")
+    release(classes)
+    release(left)
+    return found
 
 
 def near_links(docs: DataFrame, marked: DataFrame, components, alike: float = ALIKE, block: int = BLOCK) -> DataFrame:
@@ -193,13 +233,11 @@ def near_links(docs: DataFrame, marked: DataFrame, components, alike: float = AL
     """
     first = F.min(F.struct("k_id", "text_hash", "fp", "n_chars")).alias("f")
     distinct = marked.where(F.size("bands") > 0).groupBy("key").agg(first)
-    banded = marked.select("key", F.explode("bands").alias("band")).distinct()
-    low = banded.groupBy("band").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    ties = join_on_key(banded, low, "band", BANDS * marked.count()).where("key <> b").select(F.col("key").alias("a"), "b")
-    groups = components(ties)
+    groups = components(band_ties(marked))
     groups = groups.select(F.col("node").alias("key"), "root").unionByName(groups.select(F.col("root").alias("key"), "root").distinct())
     candidates = materialise(groups.join(distinct, "key").select("key", "root", "f.*"), "candidates")
     members = materialise(in_blocks(candidates, block), "members")
+    release(candidates)
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")
     )
@@ -211,12 +249,15 @@ def near_links(docs: DataFrame, marked: DataFrame, components, alike: float = AL
         return pd.DataFrame({"ka": key[i], "kb": key[j], "a": fp[i], "b": fp[j], "large": bool((pdf["blocks"] > 1).any())})
 
     # All documents are held against the candidates once; what is compared later is this table.
-    texts = materialise(texts.join(members.select("k_id", "text_hash", "key"), ["k_id", "text_hash"]).select("key", "text"), "texts")
-    dealt = texts.join(members, "key").select("root", "key", "fp", "blocks", "text", F.explode("at").alias("block"))
+    texts = texts.join(members.select("k_id", "text_hash", "key", "root", "fp", "blocks", "at"), ["k_id", "text_hash"])
+    texts = materialise(texts.drop("k_id", "text_hash"), "texts")
+    dealt = texts.select("root", "key", "fp", "blocks", "text", F.explode("at").alias("block"))
     found = dealt.groupBy("root", "block").applyInPandas(search, "ka long, kb long, a long, b long, large boolean")
     found = materialise(found, "near")
-    large = members.where("blocks > 1")
-    if large.isEmpty():
-        return found.select("a", "b")
-    further = stray_links(texts, large, found.where("large"), components, alike, block)
-    return found.select("a", "b") if further is None else found.select("a", "b").unionByName(further)
+    out, large = found.select("a", "b"), members.where("blocks > 1")
+    if not large.isEmpty():
+        further = stray_links(texts, large.select("key", "root", "blocks", "block", "n_chars"), found.where("large"), components, alike, block)
+        out = out if further is None else out.unionByName(further)
+    release(texts)
+    release(members)
+    return out

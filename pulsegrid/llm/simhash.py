@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import near_copies
-from pulsegrid.llm.common import join_on_key, materialise
+from pulsegrid.llm.common import join_on_key, materialise, release, small_batches
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints differ at most.
 SHINGLE = 3
@@ -202,11 +202,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count("*").alias("n"))
         large = join_on_key(both.where("b > a"), low, "a", total).select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = materialise(large.where("a <> b"), "links")
+        release(edges)
         # Small star: the smaller neighbours, and the node, are tied to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
         small = join_on_key(large, low, "a", total).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         edges = small.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
         edges = materialise(edges, "links")
+        release(large)
         state = edges.agg(*tally).first()
         if state == before:
             break
@@ -248,6 +250,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, alik
     Rows equal in id and text count once.  A null id stays only where no document of its component has one.
     With ``alike``, documents whose five-word shingles are at least that similar are linked as well.
     """
+    small_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     further = None
     if alike is None:
