@@ -1,8 +1,8 @@
 """Document fingerprints by I-Match with randomised lexicon subsets.
 
 The lexicon keeps the terms whose document frequency lies in a band.  Each fingerprint sorts a
-document's distinct lexicon terms and hashes those of several random subsets of the lexicon, whose
-rates fall by fours, so that for any length of document some subsets hold about one of its terms.
+document's distinct lexicon terms and hashes the sorted list of those that lie in each of several random
+subsets of the lexicon, whose rates fall by fours, so that for any length of document some subsets hold about one of its terms.
 Two fingerprints are alike by the share of equal subset hashes, at the finest rate at which at least
 a quarter of the subsets hold a term of either document.
 
@@ -42,8 +42,10 @@ HELD_TERMS = 1_000_000
 
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, SUBSETS, dtype=np.uint64) | np.uint64(1)
+_EDGES = np.arange(SUBSETS + 1)
 _RATES = [np.uint32(1 << (30 - 2 * level)) for level in range(LEVELS)]
-_HEX = 4
+#: Hex digits kept of a subset's 64-bit hash.
+DIGITS = 8
 
 
 def terms(text: str) -> set[str]:
@@ -94,10 +96,12 @@ def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = MIN_SHAR
 
 
 def fingerprint(text: str, words: np.ndarray) -> str:
-    """Hex digits of the hash of each subset, rate by rate; zero where a subset holds none of the terms."""
+    """Hex digits of the hash of each subset's sorted terms, rate by rate; zero where a subset holds none of them."""
+    import xxhash
+
     all_terms = np.unique(hashes(terms(text)))
     if not len(all_terms):
-        return "0" * (_HEX * SUBSETS * LEVELS)
+        return "0" * (DIGITS * SUBSETS * LEVELS)
     if len(words):
         at = np.minimum(np.searchsorted(words, all_terms), len(words) - 1)
         own = all_terms[words[at] == all_terms]
@@ -105,30 +109,29 @@ def fingerprint(text: str, words: np.ndarray) -> str:
         own = all_terms[:0]
     if not len(own):
         own = all_terms
-    mixed = own[:, None] * _MIX[None, :]
+    mixed = _MIX[:, None] * own[None, :]  # subset by subset, terms in order
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     draw = (mixed >> np.uint64(32)).astype(np.uint32).ravel()
-    at = np.flatnonzero(draw < _RATES[0])  # (term, subset) pairs of the widest subsets
-    draw, subset = draw[at], at % SUBSETS
-    level = np.zeros(len(at), np.int64)
-    for rate in _RATES[1:]:
-        level += draw < rate
-    # The distinct terms of each subset, in order, add up to its hash; sums below 2**53 are exact.  A subset of
-    # a rate holds what those of the lower rates hold.
-    cell, shape = level * SUBSETS + subset, (LEVELS, SUBSETS)
-    part = (mixed.ravel()[at] & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    sums = np.bincount(cell, part, LEVELS * SUBSETS).reshape(shape)[::-1].cumsum(axis=0)[::-1]
-    held = np.bincount(cell, None, LEVELS * SUBSETS).reshape(shape)[::-1].cumsum(axis=0)[::-1]
-    return np.where(held > 0, sums % 65535 + 1, 0).astype(">u2").tobytes().hex()
+    at = np.flatnonzero(draw < _RATES[0])
+    draw, subset, term = draw[at], at // len(own), own[at % len(own)].astype("<u8")
+    h, shift, out = xxhash.xxh64_intdigest, 64 - 4 * DIGITS, []
+    for level, rate in enumerate(_RATES):  # a subset of a rate holds what those of the lower rates hold
+        if level:
+            keep = draw < rate
+            draw, subset, term = draw[keep], subset[keep], term[keep]
+        ends, raw = (8 * np.searchsorted(subset, _EDGES)).tolist(), term.tobytes()
+        out += [(h(raw[a:b]) >> shift or 1) if b > a else 0 for a, b in zip(ends, ends[1:])]
+    return "".join([f"%0{DIGITS}x" % v for v in out])
 
 
 def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    x = np.frombuffer(a.encode(), "S4").reshape(LEVELS, SUBSETS)
-    y = np.frombuffer(b.encode(), "S4").reshape(LEVELS, SUBSETS)
-    held = (x != b"0000") | (y != b"0000")
+    none = b"0" * DIGITS
+    x = np.frombuffer(a.encode(), f"S{DIGITS}").reshape(LEVELS, SUBSETS)
+    y = np.frombuffer(b.encode(), f"S{DIGITS}").reshape(LEVELS, SUBSETS)
+    held = (x != none) | (y != none)
     informed = held.sum(axis=1)
     level = max(0, int(np.flatnonzero(4 * informed >= SUBSETS).max(initial=0)))
     return float(((x[level] == y[level]) & held[level]).sum() / informed[level]) if informed[level] else 0.0
@@ -158,7 +161,8 @@ def in_descending_order(docs: DataFrame, text_col: str = "text") -> DataFrame:
     tops = tops.select("bucket", "top", F.coalesce("ahead", "last").alias("to")).collect()
     ahead = spark.createDataFrame([(r["bucket"], r["top"], r["to"]) for r in tops], "bucket int, top long, to int")
     edges = rows.join(F.broadcast(ahead), "bucket").where(at == F.col("top"))
-    edges = edges.select(F.col("to").alias("bucket"), F.lit(1).alias("edge"), "doc_id", "text")
+    # The first row alone ends the bucket ahead: of rows with one id that with the greatest text.
+    edges = edges.groupBy(F.col("to").alias("bucket")).agg(F.lit(1).alias("edge"), F.max("doc_id").alias("doc_id"), F.max("text").alias("text"))
     return rows.select("bucket", F.lit(0).alias("edge"), "doc_id", "text").unionByName(edges)
 
 

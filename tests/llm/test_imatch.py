@@ -59,13 +59,13 @@ def slow_fingerprint(text, words):
     out = {}
     for level in range(imatch.LEVELS):
         for subset in range(imatch.SUBSETS):
-            total, held = 0, False
+            held = []
             for term in own:
                 x = term * int(imatch._MIX[subset]) % 2**64
                 x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
                 if x >> 32 < 1 << (30 - 2 * level):
-                    total, held = total + (x & 0xFFFFFFFF), True
-            out[level, subset] = total % 65535 + 1 if held else 0
+                    held.append(term.to_bytes(8, "little"))
+            out[level, subset] = (xxhash.xxh64_intdigest(b"".join(held)) >> (64 - 4 * imatch.DIGITS) or 1) if held else 0
     return out
 
 
@@ -99,5 +99,14 @@ def test_fingerprints_and_likeness_equal_brute_force(spark, docs):
         edited = slow_fingerprint(text[: len(text) - cut] + rows[after][1][:cut], words)
         r = got[doc_id]
         for shown, mark in ((r.fingerprint, marks[k]), (r.edited_fingerprint, edited)):
-            assert shown == "".join(f"{mark[level, s]:04x}" for level in range(imatch.LEVELS) for s in range(imatch.SUBSETS))
+            assert shown == "".join(f"{mark[level, s]:0{imatch.DIGITS}x}" for level in range(imatch.LEVELS) for s in range(imatch.SUBSETS))
         assert r.near_edited == slow_likeness(marks[k], edited) and r.near_next == slow_likeness(marks[k], marks[after])
+
+
+def test_one_id_repeated_ends_the_bucket_ahead_once(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "BUCKET_DOCS", 5)
+    rows = [(k, f"text {k} " * 5) for k in range(40)] + [(17, f"same id {k} " * 4) for k in range(30)] + [(17, None), (None, "no id"), (None, None)]
+    dealt = imatch.in_descending_order(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.edge for r in dealt) == len({r.bucket for r in dealt}) and sum(1 - r.edge for r in dealt) == len(rows)
+    got = imatch.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == expected(rows)
