@@ -2,7 +2,8 @@
 
 A fit of ``a * x**b * y**c ...`` starts from the linear fit of the logarithms and is refined by
 Levenberg-Marquardt.  Each step sums the normal equations over all rows as one aggregate, for all groups at
-once, and solves the small systems on the driver, which sees one row for each group.
+once, and solves the small systems on the driver, which sees one row for each group.  The rows, logarithms taken,
+are written once to the shared folder, so a step scans a few columns however the rows came about.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pulsegrid.operators.tables import materialise, release
+
 
 def scores(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
     """n, r2 (squared correlation), its p_value, rmse and mae of the rows that have both values, for each group."""
@@ -115,18 +118,25 @@ def fit_power_law(
     well scaled whatever the size of ``a``.  ``keys`` must name few groups, ``MOST_GROUPS`` at most: their sums come to
     the driver and their parameters are broadcast.  More are refused.
     """
-    spark = df.sparkSession
-    if keys and df.select(*keys).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups")
     good = F.col(target) > 0
     for f in factors:
         good = good & (F.col(f) > 0)
     logs = [F.log(F.col(f)).alias(f"x{i}") for i, f in enumerate(factors)]
-    rows = df.where(good).select(*keys, F.col(target).cast("double").alias("y"), *logs)
-    k = len(factors) + 1
+    rows = materialise(df.where(good).select(*keys, F.col(target).cast("double").alias("y"), *logs), "fit")
+    try:
+        return _fitted(rows, keys, len(factors) + 1, rounds, tolerance)
+    finally:
+        release(rows)
+
+
+def _fitted(rows: DataFrame, keys: Sequence[str], k: int, rounds: int, tolerance: float) -> DataFrame:
+    """The fits of a table of rows: keys, y, and the logarithms x0, x1 ... of its k - 1 factors."""
+    spark = rows.sparkSession
+    if keys and rows.select(*keys).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
     centre = rows.groupBy(*keys).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(k - 1)]).collect()
     means = {tuple(r[c] for c in keys): [r[f"m{i}"] for i in range(k - 1)] for r in centre}
-    base = list(df.select(*keys).schema.fields)
+    base = list(rows.select(*keys).schema.fields)
 
     def joined(params: dict[tuple, np.ndarray]) -> DataFrame:
         names = [f"m{i}" for i in range(k - 1)] + [f"b{i}" for i in range(k)]
