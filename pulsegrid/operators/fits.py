@@ -180,8 +180,9 @@ def _fitted(rows: DataFrame, keys: Sequence[str], k: int, rounds: int, tolerance
             if new[key][2] <= state[key][2]:
                 moved = max(moved, (state[key][2] - new[key][2]) / max(state[key][2], 1e-300))
                 params[key], state[key], damping[key] = tried[key], new[key], damping[key] / 10
-            else:
-                moved, damping[key] = max(moved, 1.0), damping[key] * 10
+            else:  # no step down is worse: where it is by no more than rounding, none is left
+                stalled = new[key][2] - state[key][2] <= tolerance * state[key][2]
+                moved, damping[key] = max(moved, 0.0 if stalled else 1.0), damping[key] * 10
         if moved < tolerance:
             break
     out = []
